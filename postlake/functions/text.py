@@ -101,15 +101,19 @@ def tidy(c) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def without_tags(c) -> Column:
+    """Text of an HTML fragment with its character references left as they are."""
+    c = F.coalesce(_col(c), F.lit(""))
+    c = F.regexp_replace(c, _DROP, "")
+    c = F.regexp_replace(c, _BREAK, "\n")
+    c = F.regexp_replace(c, _BLOCK, "\n\n")
+    return F.regexp_replace(c, _TAG, "")
+
+
 def html_text(c) -> Column:
     """Readable text of an HTML fragment; null becomes the empty string.
 
     Only an opening block tag starts a new paragraph. Markup that no parser
     would accept is not repaired.
     """
-    c = F.coalesce(_col(c), F.lit(""))
-    c = F.regexp_replace(c, _DROP, "")
-    c = F.regexp_replace(c, _BREAK, "\n")
-    c = F.regexp_replace(c, _BLOCK, "\n\n")
-    c = F.regexp_replace(c, _TAG, "")
-    return tidy(decode_entities(c))
+    return tidy(decode_entities(without_tags(c)))

@@ -5,24 +5,25 @@ from pyspark.sql import functions as F
 
 from postlake import vocab
 from postlake.functions.text import (
-    CYRILLIC, HSPACE, _col, blank_as_null, collapse, is_blank, lookup, strip,
+    CYRILLIC, HSPACE, SPACE, _col, blank_as_null, collapse, is_blank, lookup, strip,
 )
 
 # Decimal numbers only: no 'inf', 'nan' or typed literals such as '1d'.
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
-_NUMBER = rf"\A[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
-_MAGNITUDE = f"[{''.join(vocab.MAGNITUDES)}]"
+_NUMBER = (rf"\A([+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)"
+           rf"{SPACE}*([{''.join(vocab.MAGNITUDES)}]?)\z")
 
 
 def number(c) -> Column:
-    """Number written in text ('$180k', '250 000', '1.5M'); null when there is none."""
+    """Number written in text ('$180k', '250 000', '1.5M'); null when there is none.
+
+    A number too large for a double comes out as infinity.
+    """
     text = F.regexp_replace(_col(c).cast("string"), f"[{vocab.CURRENCY_SIGNS},]", "")
     text = strip(F.regexp_replace(text, f"{HSPACE}+", ""))
-    factor = F.coalesce(lookup(vocab.MAGNITUDES, F.regexp_extract(text, rf"({_MAGNITUDE})\z", 1)),
-                        F.lit(1.0))
-    body = strip(F.regexp_replace(text, rf"{_MAGNITUDE}\z", ""))
-    value = F.when(body.rlike(_NUMBER), F.replace(body, F.lit("_")).try_cast("double")) * factor
-    return F.when(F.abs(value) < float("inf"), value)
+    digits = F.replace(F.regexp_extract(text, _NUMBER, 1), F.lit("_"), F.lit(""))
+    factor = F.coalesce(lookup(vocab.MAGNITUDES, F.regexp_extract(text, _NUMBER, 2)), F.lit(1.0))
+    return digits.try_cast("double") * factor
 
 
 def period_unit(c, periods=None) -> Column:
@@ -32,11 +33,12 @@ def period_unit(c, periods=None) -> Column:
 
 def monthly(amount, period, periods=None) -> Column:
     """Whole amount per month, ties to even; null when either part is unusable."""
-    value, unit = number(amount), period_unit(period, periods)
-    scaled = (F.when(unit == "year", value / vocab.MONTHS_PER_YEAR)
-              .when(unit == "hour", value * vocab.HOURS_PER_MONTH)
-              .when(unit == "month", value))
-    return F.bround(scaled, 0).try_cast("bigint")
+    periods = periods or vocab.PERIODS
+    key = F.lower(strip(period))
+    # Times one or over one changes nothing, so one formula serves all units.
+    times = lookup({p: vocab.HOURS_PER_MONTH if u == "hour" else 1.0 for p, u in periods.items()}, key)
+    over = lookup({p: float(vocab.MONTHS_PER_YEAR) if u == "year" else 1.0 for p, u in periods.items()}, key)
+    return F.bround(number(amount) * times / over, 0).try_cast("bigint")
 
 
 def enum_key(c) -> Column:

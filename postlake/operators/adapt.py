@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from postlake import vocab
 from postlake.functions import text, values
 from postlake.operators.filters import route
+from postlake.operators.normalise import clean_html
+from postlake.operators.steps import once
 
 _ALL = ["company", "title", "seniority", "stack", "location", "remote_policy", "employment_type",
         "salary_min", "salary_max", "salary_currency"]
@@ -50,7 +52,7 @@ def adapt_boards(df: DataFrame) -> DataFrame:
 
     A row that cannot be read carries an error and nothing else; it never stops the job.
     """
-    df = df.withColumn("_json", F.when(F.col("source") != "hn", F.try_parse_json("raw_text")))
+    df = once(df, {"_json": F.when(F.col("source") != "hn", F.try_parse_json("raw_text"))})
     low, high = _get("salary.from"), _get("salary.to")
     unreadable = ((low.isNotNull() & values.number(low).isNull())
                   | (high.isNotNull() & values.number(high).isNull()))
@@ -60,7 +62,7 @@ def adapt_boards(df: DataFrame) -> DataFrame:
              .when(F.col("_json").isNull(), "text is not JSON")
              .when(~F.schema_of_variant("_json").startswith("OBJECT"), "text is not a JSON object")
              .when((F.col("source") == "habr") & unreadable, "salary is not a number"))
-    df = df.withColumn("adapter_error", error)
+    df = once(df, {"adapter_error": error})
 
     flag = _by_source(habr=F.when(_kind("remoteWork") == "BOOLEAN", _get("remoteWork", "boolean")),
                       web3=F.when(_kind("is_remote") == "BOOLEAN", _get("is_remote", "boolean")))
@@ -72,7 +74,7 @@ def adapt_boards(df: DataFrame) -> DataFrame:
     held = F.create_map(*[x for s, names in HELD_OUT.items() for x in (
         F.lit(s), F.array(*[F.lit(n) for n in names]).cast("array<string>"))])
     fields = {
-        "html": _by_source(hn=F.col("raw_text"), habr=_get("description_html"),
+        "_html": _by_source(hn=F.col("raw_text"), habr=_get("description_html"),
                            web3=_get("description"), remotive=_get("description")),
         "company": _by_source(habr=_get("company.title"), web3=_get("company"),
                               remotive=_get("company_name")),
@@ -96,10 +98,10 @@ def adapt_boards(df: DataFrame) -> DataFrame:
             remotive=F.when(salary_text != "", salary_text)),
     }
     usable = F.col("adapter_error").isNull()
-    df = df.withColumns({name: F.when(usable, expr) for name, expr in fields.items()})
-    df = df.withColumns({
-        "text": F.when(usable, text.html_text("html")),
+    df = once(df, {name: F.when(usable, expr) for name, expr in fields.items()})
+    df = clean_html(df, "_html").withColumns({
+        "text": F.when(usable, F.col("text")),
         "held_out": F.when(usable, F.try_element_at(held, F.col("source"))),
         "salary_period_known": F.when(usable, F.col("source") == "habr"),
-    }).drop("_json", "html")
+    }).drop("_json", "_html")
     return route(df).withColumn("prefilter", F.when(usable, F.col("prefilter")))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions import text, values
+from postlake.operators.steps import once
 
 
 def clean_html(df: DataFrame, col: str, out="text") -> DataFrame:
-    return df.withColumn(out, text.html_text(col))
+    bare = once(df, {"_bare": text.without_tags(col)})
+    return once(bare, {out: text.tidy(text.decode_entities("_bare"))}).drop("_bare")
 
 
 def blank_to_null(df: DataFrame, cols, extra=()) -> DataFrame:
@@ -23,15 +25,15 @@ def blank_to_null(df: DataFrame, cols, extra=()) -> DataFrame:
 def standardise_salary(df: DataFrame, amount="amount", period="period", out="monthly",
                        periods=None) -> DataFrame:
     """Monthly whole amount, and the reason where there is none."""
+    df = once(df, {out: values.monthly(amount, period, periods)})
     stated = F.col(amount).isNotNull()
     reason = (F.when(stated & values.period_unit(period, periods).isNull(), "unknown salary period")
               .when(stated & F.col(out).isNull(), "amount is not a number"))
-    return (df.withColumn(out, values.monthly(amount, period, periods))
-            .withColumn("reason", reason))
+    return df.withColumn("reason", reason)
 
 
 def normalise_skills(df: DataFrame, col: str, out=None, aliases=None, stoplist=None) -> DataFrame:
-    return df.withColumn(out or col, values.skills(col, aliases, stoplist))
+    return once(df, {out or col: values.skills(col, aliases, stoplist)})
 
 
 def _mapped(df: DataFrame, key: Column, out: str, table: DataFrame, default: Column) -> DataFrame:

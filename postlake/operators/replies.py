@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postlake import vocab
 from postlake.functions import text
+from postlake.operators.steps import once
 from postlake.schemas import VERBATIM, VERBATIM_ROLE
 
 _TEXTS = ("location", "remote_policy", "employment_type", "salary_period", "salary_currency")
@@ -81,6 +82,7 @@ def _record(m: Column, schema) -> Column:
             quotes = F.try_variant_get(v, "$", "map<string,string>")
             none = F.create_map().cast("map<string,string>")
             return F.coalesce(F.transform_values(quotes, lambda _, q: text.strip(q)), none)
+        # The kind of document stays untrimmed: any spelling but 'posting' clears the rest.
         return _amount(v) if name in _AMOUNTS else F.when(_kind(v) == "STRING", _string(v))
 
     return F.struct(*[field(f.name).cast(f.dataType).alias(f.name)
@@ -93,12 +95,12 @@ def parse_replies(df: DataFrame) -> DataFrame:
     A reply about something other than a posting is checked only for its keys,
     ``doc_type`` and quotes, as its other fields will be dropped.
     """
-    df = df.withColumn("_m", F.try_variant_get(F.try_parse_json("reply"), "$", _MAP))
+    df = once(df, {"_m": F.try_variant_get(F.try_parse_json("reply"), "$", _MAP)})
     m = F.col("_m")
-    df = df.withColumn("_roles", F.transform(
-        F.try_variant_get(_at(m, "roles"), "$", "array<variant>"),
-        lambda r: F.try_variant_get(r, "$", _MAP)))
-    df = df.withColumn("_doc", F.when(_kind(_at(m, "doc_type")) == "STRING", _string(_at(m, "doc_type"))))
+    df = once(df, {
+        "_roles": F.transform(F.try_variant_get(_at(m, "roles"), "$", "array<variant>"),
+                              lambda r: F.try_variant_get(r, "$", _MAP)),
+        "_doc": F.when(_kind(_at(m, "doc_type")) == "STRING", _string(_at(m, "doc_type")))})
     posting = F.coalesce(F.col("_doc") == "posting", F.lit(True))
     roles = F.col("_roles")
     nothing = F.array().cast("array<string>")
@@ -118,13 +120,11 @@ def parse_replies(df: DataFrame) -> DataFrame:
     reasons = (F.when(F.col("reply").isNull(), nothing)
                .when(m.isNull(), F.array(F.lit("reply is not a JSON object")))
                .when(posting, F.concat(always, of_posting)).otherwise(always))
-    verbatim = _record(m, VERBATIM)
     role_rows = F.transform(F.filter(roles, lambda r: r.isNotNull()), lambda r: _record(r, VERBATIM_ROLE))
-    df = df.withColumn("reasons", reasons).withColumn("_v", verbatim)
-    return (df.select(*[c for c in df.columns if not c.startswith("_") and c not in ("reply", "reasons", "_v")],
-                      "_v.*", "_doc", role_rows.alias("roles"), "reasons")
-            .withColumn("doc_type", F.col("_doc")).drop("_doc")
-            .withColumn("roles", F.coalesce("roles", F.array().cast(VERBATIM["roles"].dataType))))
+    none = F.array().cast(VERBATIM["roles"].dataType)
+    parsed = once(df, {"_v": _record(m, VERBATIM), "roles": F.coalesce(role_rows, none), "reasons": reasons})
+    kept = [c for c in df.columns if not c.startswith("_") and c != "reply"]
+    return parsed.select(*kept, "_v.*", "roles", "reasons")
 
 
 def clear_non_postings(df: DataFrame) -> DataFrame:
@@ -144,14 +144,14 @@ def blank_reply_fields(df: DataFrame) -> DataFrame:
     """Trim every string of the posting and of each role; blank ones become null."""
     flat = ("doc_type", *_POSTING_TEXTS, *_AMOUNTS)
     per_role = (*_ROLE_TEXTS, *_AMOUNTS)
-    return df.withColumns({
+    return once(df, {
         **{c: text.blank_as_null(c) for c in flat},
         "roles": F.transform("roles", lambda r: _rebuild(r, **{c: text.blank_as_null(r[c]) for c in per_role})),
     })
 
 
 def _add(df: DataFrame, *problems: Column) -> DataFrame:
-    return df.withColumn("reasons", F.concat("reasons", *problems))
+    return once(df, {"reasons": F.concat("reasons", *problems)})
 
 
 def check_quote_keys(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postlake import vocab
 from postlake.functions import values
 from postlake.functions.times import instant
+from postlake.operators.steps import once
 from postlake.schemas import ROLES, RUNS, VERBATIM_ROLE
 
 RESULT = ["raw_posting_id", "role_index", "company", "title", "location", "seniority",
@@ -38,7 +39,7 @@ def fill_down(df: DataFrame, vocabularies=None) -> DataFrame:
         return F.coalesce(F.col("role")[name], F.col(name))
 
     df = df.withColumns({f"_{c}": take(f"salary_{c}") for c in ("min", "max", "period", "currency")})
-    df = df.withColumns({
+    df = once(df, {
         "_low": values.monthly("_min", "_period", v.get("periods")),
         "_high": values.monthly("_max", "_period", v.get("periods")),
     })
@@ -47,6 +48,7 @@ def fill_down(df: DataFrame, vocabularies=None) -> DataFrame:
               & (F.col("_max").isNull() | F.col("_high").isNotNull()) & F.col("_period").isNotNull())
     none = F.array().cast("array<string>")
     both = F.concat(F.coalesce("stack", none), F.coalesce(F.col("role.stack"), none))
+    df = once(df, {"stack": values.skills(both, v.get("aliases"), v.get("stoplist"))})
     empty = F.create_map().cast("map<string,string>")
     own = F.coalesce(F.col("role.source_quotes"), empty)
     quotes = F.map_concat(F.map_filter(F.coalesce("source_quotes", empty),
@@ -58,7 +60,7 @@ def fill_down(df: DataFrame, vocabularies=None) -> DataFrame:
         values.seniority(F.col("role.seniority"), v.get("seniority")).alias("seniority"),
         values.remote_policy(take("remote_policy"), mapping=v.get("remote")).alias("remote_policy"),
         values.employment(take("employment_type"), v.get("employment")).alias("employment_type"),
-        values.skills(both, v.get("aliases"), v.get("stoplist")).alias("stack"),
+        "stack",
         F.when(usable, F.col("_low")).alias("salary_min"),
         F.when(usable, F.col("_high")).alias("salary_max"),
         F.when(usable, values.currency("_currency", v.get("currency"))).alias("salary_currency"),

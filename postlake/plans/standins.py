@@ -151,7 +151,7 @@ vx AS (
          list_filter([CASE o.o_orderpriority WHEN '3-MEDIUM' THEN NULL WHEN '5-LOW' THEN 'low'
                            ELSE lower(o.o_orderpriority) END,
                       CASE p.p_type WHEN 'SMALL' THEN NULL WHEN 'ECONOMY' THEN 'eco'
-                           ELSE lower(p.p_type) END], x -> x IS NOT NULL) AS stack,
+                           ELSE lower(p.p_type) END], lambda x: x IS NOT NULL) AS stack,
          CAST(round_even(CASE l.l_returnflag WHEN 'R' THEN amount / 12 WHEN 'A' THEN amount * 173.33::DOUBLE END, 0)
               AS BIGINT) AS salary_min,
          CASE WHEN l.l_returnflag IN ('R', 'A') THEN 'USD' END AS salary_currency
