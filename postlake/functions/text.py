@@ -2,6 +2,7 @@
 
 import html.entities
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ _H = (r"\t\x{b}-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 HSPACE = f"[{_H}]"
 SPACE = rf"[\n{_H}]"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(r"[\s\x1c-\x1f\x85]", c))
 CYRILLIC = r"[\x{400}-\x{4ff}]"
 
 # Attributes of a tag: a quoted value may hold '>', stray quotes may not swallow text.
@@ -33,7 +35,7 @@ def _col(c) -> Column:
 
 def strip(c) -> Column:
     """Trim every kind of Unicode space from both ends."""
-    return F.regexp_replace(_col(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def collapse(c) -> Column:
@@ -54,8 +56,14 @@ def blank_as_null(c, extra=()) -> Column:
 
 def lookup(mapping: dict, key: Column) -> Column:
     """Value of ``key`` in a small literal map, null when absent."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(F.expr(f"map({', '.join(_sql(x) for kv in mapping.items() for x in kv)})"), key)
+
+
+def _sql(value) -> str:
+    """Literal as SQL text; one parsed map is much quicker to build than its many columns."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
 
 
 def _entity_names() -> dict:

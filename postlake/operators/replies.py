@@ -18,34 +18,35 @@ _AMOUNTS = ("salary_min", "salary_max")
 _MAP = "map<string,variant>"
 
 
-def _at(m: Column, key: str) -> Column:
-    return F.try_element_at(m, F.lit(key))
+def _in(c: Column, words) -> Column:
+    return c.isin(list(words))
 
 
-def _kind(v: Column) -> Column:
-    """Type name of a JSON value: 'VOID' for null, SQL null when it is absent."""
-    return F.schema_of_variant(v)
+def _all_strings(values: Column) -> Column:
+    return F.coalesce(F.forall(values, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
 
 
-def _string(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+def _problems(m: Column, allowed, texts, posting=None) -> Column:
+    """What is wrong with the JSON object ``m``: unknown keys and values of a wrong type.
 
-
-def _stated(v: Column) -> Column:
-    """Present, not null and not a blank string."""
-    kind = _kind(v)
-    return kind.isNotNull() & (kind != "VOID") & ~((kind == "STRING") & text.is_blank(_string(v)))
-
-
-def _not_strings(v: Column) -> Column:
-    return ~F.coalesce(F.forall(F.try_variant_get(v, "$", "array<variant>"),
-                                lambda x: _kind(x) == "STRING"), F.lit(False))
-
-
-def _quotes_bad(v: Column) -> Column:
-    values = F.map_values(F.try_variant_get(v, "$", _MAP))
-    return _kind(v).isNotNull() & ~F.coalesce(F.forall(values, lambda x: _kind(x) == "STRING"),
-                                              F.lit(False))
+    Where ``posting`` is false only the keys and the quotes are looked at.
+    """
+    def check(e):
+        key, value, kind = e["key"], e["value"], F.schema_of_variant(e["value"])
+        blank = (kind == "STRING") & text.is_blank(F.try_variant_get(value, "$", "string"))
+        items = F.try_variant_get(value, "$", "array<variant>")
+        wrong = (F.when(_in(key, texts) & ~_in(kind, ("STRING", "VOID")), ": not a string")
+                 .when(_in(key, _AMOUNTS) & kind.rlike("^(ARRAY|OBJECT)"), ": not a string or number")
+                 .when((key == "stack") & (kind != "VOID") & ~blank & ~_all_strings(items),
+                       ": not a list of strings")
+                 .when((key == "roles") & ~kind.startswith("ARRAY"), ": not a list"))
+        wrong = wrong if posting is None else F.when(posting, wrong)
+        quotes = F.map_values(F.try_variant_get(value, "$", _MAP))
+        return (F.when(~_in(key, allowed), F.concat(F.lit("unknown key: "), key))
+                .when(key == "source_quotes", F.when(~_all_strings(quotes), "source_quotes: not a map of strings"))
+                .otherwise(F.concat(key, wrong)))
+
+    return F.filter(F.transform(F.map_entries(m), check), lambda x: x.isNotNull())
 
 
 def _some(*tests) -> Column:
@@ -53,78 +54,70 @@ def _some(*tests) -> Column:
                     lambda x: x.isNotNull())
 
 
-def _value_problems(m: Column, texts) -> Column:
-    """Fields of one level whose JSON type is wrong."""
-    tests = [(f"{f}: not a string", _stated(_at(m, f)) & (_kind(_at(m, f)) != "STRING")) for f in texts]
-    tests += [(f"{f}: not a string or number", _stated(_at(m, f))
-               & _kind(_at(m, f)).rlike("^(ARRAY|OBJECT)")) for f in _AMOUNTS]
-    tests.append(("stack: not a list of strings", _stated(_at(m, "stack")) & _not_strings(_at(m, "stack"))))
-    return _some(*tests)
+def _level(texts) -> str:
+    """Type listing of a faultless JSON object of one level, as a pattern."""
+    kinds = {
+        "|".join(texts): "(?:STRING|VOID)",
+        "|".join(_AMOUNTS): r"(?:STRING|VOID|BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))",
+        "stack": "(?:VOID|ARRAY<(?:STRING|VOID)>)",
+        "source_quotes": "OBJECT<(?:[^<>,:]+: STRING(?:, )?)*>",
+    }
+    return "|".join(f"(?:{names}): {kind}" for names, kind in kinds.items())
 
 
-def _unknown_keys(m: Column, allowed) -> Column:
-    extra = F.array_except(F.map_keys(m), F.array(*[F.lit(k) for k in allowed]))
-    return F.transform(F.array_sort(extra), lambda k: F.concat(F.lit("unknown key: "), k))
+_ROLES_OK = f"roles: ARRAY<(?:VOID|OBJECT<(?:(?:{_level(_ROLE_TEXTS)})(?:, )?)*>)>"
+_TYPES_OK = rf"\AOBJECT<(?:(?:{_level(('doc_type', *_POSTING_TEXTS))}|{_ROLES_OK})(?:, )?)*>\z"
 
 
-def _amount(v: Column) -> Column:
-    flag = F.try_variant_get(v, "$", "boolean")
-    return F.when(_kind(v) == "BOOLEAN", F.when(flag, "1.0").otherwise("0.0")).otherwise(_string(v))
+def _faultless(v: Column) -> Column:
+    """Sure sign that a reply breaks no rule, from one look at its types.
 
+    The listing of an array's types hides single nulls, so those are looked for.
+    """
+    def whole(level):
+        return ~(F.coalesce(F.exists(level["stack"], lambda x: x.isNull()), F.lit(False))
+                 | F.coalesce(F.exists(F.map_values(level["source_quotes"]), lambda x: x.isNull()), F.lit(False)))
+
+    roles = F.coalesce(F.forall(v["roles"], lambda r: r.isNotNull() & whole(r)), F.lit(True))
+    return F.coalesce(F.schema_of_variant("_j").rlike(_TYPES_OK) & whole(v) & roles
+                      & ~F.col("reply").rlike(r'"source_quotes"\s*:\s*null')
+                      & _in(text.strip(v["doc_type"]), vocab.DOC_TYPES), F.lit(False))
 
-def _record(m: Column, schema) -> Column:
-    """Typed struct of one level; quotes are never null."""
-    def field(name):
-        v = _at(m, name)
-        if name == "stack":
-            return F.transform(F.try_variant_get(v, "$", "array<string>"), text.strip)
-        if name == "source_quotes":
-            quotes = F.try_variant_get(v, "$", "map<string,string>")
-            none = F.create_map().cast("map<string,string>")
-            return F.coalesce(F.transform_values(quotes, lambda _, q: text.strip(q)), none)
-        # The kind of document stays untrimmed: any spelling but 'posting' clears the rest.
-        return _amount(v) if name in _AMOUNTS else F.when(_kind(v) == "STRING", _string(v))
 
-    return F.struct(*[field(f.name).cast(f.dataType).alias(f.name)
-                      for f in schema.fields if f.name != "roles"])
+def _found() -> Column:
+    """All that is wrong with a reply, field by field."""
+    m, doc = F.try_variant_get("_j", "$", _MAP), F.col("_v.doc_type")
+    posting = F.coalesce(doc == "posting", F.lit(True))
+    nothing = F.array().cast("array<string>")
+    of_roles = F.flatten(F.transform(F.try_variant_get("_j", "$.roles", "array<variant>"), lambda r: F.coalesce(
+        _problems(F.try_variant_get(r, "$", _MAP), vocab.ROLE_KEYS, _ROLE_TEXTS),
+        F.array(F.lit("roles: not an object")))))
+    known = F.coalesce(_in(text.strip(doc), vocab.DOC_TYPES), F.lit(False))
+    listed = F.concat(
+        _problems(m, vocab.POSTING_KEYS, _POSTING_TEXTS, posting),
+        F.when(known, nothing).otherwise(F.array(F.lit("doc_type: missing or unknown"))),
+        F.when(posting, F.coalesce(of_roles, nothing)).otherwise(nothing))
+    return F.coalesce(listed, F.array(F.lit("reply is not a JSON object")))
 
 
 def parse_replies(df: DataFrame) -> DataFrame:
     """JSON replies to the verbatim columns plus ``reasons``.
 
     A reply about something other than a posting is checked only for its keys,
-    ``doc_type`` and quotes, as its other fields will be dropped.
+    ``doc_type`` and quotes, as its other fields will be dropped. Numbers keep
+    their text; types are checked on the JSON itself.
     """
-    df = once(df, {"_m": F.try_variant_get(F.try_parse_json("reply"), "$", _MAP)})
-    m = F.col("_m")
-    df = once(df, {
-        "_roles": F.transform(F.try_variant_get(_at(m, "roles"), "$", "array<variant>"),
-                              lambda r: F.try_variant_get(r, "$", _MAP)),
-        "_doc": F.when(_kind(_at(m, "doc_type")) == "STRING", _string(_at(m, "doc_type")))})
-    posting = F.coalesce(F.col("_doc") == "posting", F.lit(True))
-    roles = F.col("_roles")
-    nothing = F.array().cast("array<string>")
-    role_problems = F.flatten(F.transform(roles, lambda r: F.when(
-        r.isNull(), F.array(F.lit("roles: not an object"))).otherwise(
-            F.concat(_unknown_keys(r, vocab.ROLE_KEYS), _value_problems(r, _ROLE_TEXTS),
-                     _some(("source_quotes: not a map of strings", _quotes_bad(_at(r, "source_quotes"))))))))
-    always = F.concat(
-        _unknown_keys(m, vocab.POSTING_KEYS),
-        _some(("doc_type: missing or unknown",
-               ~F.coalesce(text.strip("_doc").isin(list(vocab.DOC_TYPES)), F.lit(False))),
-              ("source_quotes: not a map of strings", _quotes_bad(_at(m, "source_quotes")))))
-    of_posting = F.concat(
-        _value_problems(m, _POSTING_TEXTS),
-        _some(("roles: not a list", _kind(_at(m, "roles")).isNotNull() & roles.isNull())),
-        F.coalesce(role_problems, nothing))
-    reasons = (F.when(F.col("reply").isNull(), nothing)
-               .when(m.isNull(), F.array(F.lit("reply is not a JSON object")))
-               .when(posting, F.concat(always, of_posting)).otherwise(always))
-    role_rows = F.transform(F.filter(roles, lambda r: r.isNotNull()), lambda r: _record(r, VERBATIM_ROLE))
-    none = F.array().cast(VERBATIM["roles"].dataType)
-    parsed = once(df, {"_v": _record(m, VERBATIM), "roles": F.coalesce(role_rows, none), "reasons": reasons})
+    df = once(df, {"_j": F.try_parse_json("reply"), "_v": F.from_json("reply", VERBATIM)})
+    fine = F.col("reply").isNull() | _faultless(F.col("_v"))
+    parsed = once(df, {"reasons": F.when(fine, F.array().cast("array<string>")).otherwise(_found())})
     kept = [c for c in df.columns if not c.startswith("_") and c != "reply"]
-    return parsed.select(*kept, "_v.*", "roles", "reasons")
+    no_quotes = F.create_map().cast("map<string,string>")
+    no_roles = F.array().cast(VERBATIM["roles"].dataType)
+    readable = F.schema_of_variant("_j").startswith("OBJECT")
+    return (parsed.select(*kept, F.when(readable, F.col("_v")).alias("_v"), "reasons")
+            .select(*kept, "_v.*", "reasons")
+            .withColumn("source_quotes", F.coalesce("source_quotes", no_quotes))
+            .withColumn("roles", F.coalesce(F.filter("roles", lambda r: r.isNotNull()), no_roles)))
 
 
 def clear_non_postings(df: DataFrame) -> DataFrame:
@@ -141,12 +134,20 @@ def _rebuild(role: Column, **new) -> Column:
 
 
 def blank_reply_fields(df: DataFrame) -> DataFrame:
-    """Trim every string of the posting and of each role; blank ones become null."""
+    """Trim every string of the posting and of each role; blank texts become null."""
     flat = ("doc_type", *_POSTING_TEXTS, *_AMOUNTS)
     per_role = (*_ROLE_TEXTS, *_AMOUNTS)
+    none = F.create_map().cast("map<string,string>")
+
+    def lists(get):
+        return {"stack": F.transform(get("stack"), text.strip),
+                "source_quotes": F.coalesce(
+                    F.transform_values(get("source_quotes"), lambda _, q: text.strip(q)), none)}
+
     return once(df, {
-        **{c: text.blank_as_null(c) for c in flat},
-        "roles": F.transform("roles", lambda r: _rebuild(r, **{c: text.blank_as_null(r[c]) for c in per_role})),
+        **{c: text.blank_as_null(c) for c in flat}, **lists(F.col),
+        "roles": F.transform("roles", lambda r: _rebuild(
+            r, **{c: text.blank_as_null(r[c]) for c in per_role}, **lists(lambda c: r[c]))),
     })
 
 
