@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postlake import vocab
 from postlake.functions.text import (
-    CYRILLIC, HSPACE, SPACE, _col, blank_as_null, collapse, is_blank, lookup, strip,
+    CYRILLIC, HSPACE, SPACE, _col, blank_as_null, collapse, lookup, strip,
 )
 
 # Decimal numbers only: no 'inf', 'nan' or typed literals such as '1d'.
@@ -42,16 +42,22 @@ def monthly(amount, period, periods=None) -> Column:
 
 
 def enum_key(c) -> Column:
-    """Lower-case lookup key of an enum-like string; null when blank."""
-    return F.replace(F.lower(strip(collapse(blank_as_null(c)))), F.lit("_"), F.lit("-"))
+    """Lower-case lookup key of an enum-like string."""
+    return F.replace(F.lower(collapse(strip(c))), F.lit("_"), F.lit("-"))
+
+
+def _enum(c, mapping: dict) -> Column:
+    # A blank word is never looked up, whatever the vocabulary says.
+    stated = {k: v for k, v in mapping.items() if k not in vocab.BLANKS}
+    return F.coalesce(lookup(stated, enum_key(c)), F.lit("unknown"))
 
 
 def seniority(c, mapping=None) -> Column:
-    return F.coalesce(lookup(mapping or vocab.SENIORITY, enum_key(c)), F.lit("unknown"))
+    return _enum(c, mapping or vocab.SENIORITY)
 
 
 def employment(c, mapping=None) -> Column:
-    return F.coalesce(lookup(mapping or vocab.EMPLOYMENT, enum_key(c)), F.lit("unknown"))
+    return _enum(c, mapping or vocab.EMPLOYMENT)
 
 
 def remote_policy(c, flag=None, mapping=None) -> Column:
@@ -59,7 +65,7 @@ def remote_policy(c, flag=None, mapping=None) -> Column:
 
     A flag of false says nothing about an office, so it means unknown.
     """
-    text = F.coalesce(lookup(mapping or vocab.REMOTE, enum_key(c)), F.lit("unknown"))
+    text = _enum(c, mapping or vocab.REMOTE)
     if flag is None:
         return text
     flag = _col(flag)
@@ -91,15 +97,21 @@ def skills(c, aliases=None, stoplist=None) -> Column:
     aliases, stoplist = aliases or vocab.SKILL_ALIASES, stoplist or vocab.SKILL_STOPLIST
     # One pass per step: a lambda has no shared subexpressions, so nesting the
     # steps in one would evaluate the early ones many times per item.
-    stated = F.filter(_col(c), lambda x: x.isNotNull() & ~is_blank(x))
-    folded = F.transform(stated, lambda x: fold_lookalikes(strip(x)))
-    keys = F.transform(folded, lambda x: F.lower(strip(collapse(x))))
+    stated = F.transform(_col(c), strip)
+    keys = F.transform(stated, lambda x: F.when(F.lower(x).isin(list(vocab.BLANKS)), None)
+                       .when(_plain(x), F.lower(collapse(x)))
+                       .otherwise(F.lower(collapse(fold_lookalikes(x)))))
     known = F.transform(
-        F.filter(keys, lambda k: ~k.isin(list(stoplist))),
-        lambda k: F.coalesce(lookup(aliases, k), F.when(~k.rlike(CYRILLIC), k)))
+        F.filter(keys, lambda k: k.isNotNull() & ~k.isin(list(stoplist))),
+        lambda k: F.coalesce(lookup(aliases, k), F.when(_plain(k), k), F.when(~k.rlike(CYRILLIC), k)))
     return F.array_distinct(F.filter(known, lambda k: k.isNotNull()))
 
 
+def _plain(c: Column) -> Column:
+    """True for text of one-byte characters, which has no look-alikes."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def skill(c, aliases=None, stoplist=None) -> Column:
     """Canonical name of one skill, null when it is dropped."""
     return F.try_element_at(skills(F.array(_col(c)), aliases, stoplist), F.lit(1))

@@ -1,10 +1,10 @@
 """Scores of extracted records against held-out or labelled ones."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.operators.ranking import first_n
-from postlake.operators.similar import jaccard_join, trigrams
+from postlake.operators.similar import similar_within, trigrams
 from postlake.schemas import KEY, TRUTH_FIELDS
 
 
@@ -64,37 +64,26 @@ def align_roles(pred: DataFrame, truth: DataFrame, threshold=0.3, key="raw_posti
     of two roles that are each other's best match by trigram similarity.
     """
     def numbered(df, name):
-        nth = F.row_number().over(_w([key, "title"], "role_index"))
+        nth = F.row_number().over(Window.partitionBy(key, "title").orderBy("role_index"))
         return df.filter(F.col("title").isNotNull()).select(
-            key, "title", F.col("role_index").alias(name)).withColumnRenamed(name, "role_index"
-            ).withColumn("nth", nth).withColumnRenamed("role_index", name)
+            key, "title", nth.alias("nth"), F.col("role_index").alias(name))
 
-    p, t = numbered(pred, "pred_index"), numbered(truth, "truth_index")
-    equal = p.join(t, [key, "title", "nth"]).select(
+    both = numbered(pred, "pred_index").join(numbered(truth, "truth_index"), [key, "title", "nth"], "full")
+    equal = both.filter("pred_index IS NOT NULL AND truth_index IS NOT NULL").select(
         key, "pred_index", "truth_index", F.lit(1.0).alias("similarity"))
-    p = p.join(equal, [key, "pred_index"], "left_anti")
-    t = t.join(equal, [key, "truth_index"], "left_anti")
 
-    def tokens(df, index, side):
-        return df.select(F.concat_ws(":", F.lit(side), key, index).alias("id"), key,
-                         F.col(index).alias("role_index"), trigrams(F.lower("title")).alias("tokens"))
-
-    left, right = tokens(p, "pred_index", "p"), tokens(t, "truth_index", "t")
-    ids = [left.select("id", key, F.col("role_index").alias("pred_index")),
-           right.select("id", key, F.col("role_index").alias("truth_index"))]
-    pairs = jaccard_join(left.drop("role_index"), right.drop("role_index"), threshold, on=[key])
-    pairs = (pairs.join(ids[0].withColumnRenamed("id", "id_a"), "id_a")
-             .join(ids[1].drop(key).withColumnRenamed("id", "id_b"), "id_b"))
-    best_p = first_n(pairs, ["id_a"], ["-similarity", "truth_index"], 1).select("id_a", "id_b")
-    best_t = first_n(pairs, ["id_b"], ["-similarity", "pred_index"], 1)
-    mutual = best_t.join(best_p, ["id_a", "id_b"]).select(key, "pred_index", "truth_index", "similarity")
-    return equal.unionByName(mutual)
-
-
-def _w(keys, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(order)
+    def rest(index, other):
+        return both.filter(F.col(other).isNull()).select(
+            F.struct(F.col(key).alias("k"), F.col(index).alias("i")).alias("id"), F.col(key).alias("k"),
+            trigrams(F.lower("title")).alias("tokens"))
+
+    pairs = similar_within(rest("pred_index", "truth_index"), rest("truth_index", "pred_index"), threshold, "k")
+    pairs = pairs.select(F.col("id_a.k").alias(key), F.col("id_a.i").alias("pred_index"),
+                         F.col("id_b.i").alias("truth_index"), "similarity")
+    best = first_n(pairs, [key, "pred_index"], ["-similarity", "truth_index"], 1, "_p")
+    other = first_n(pairs, [key, "truth_index"], ["-similarity", "pred_index"], 1, "_t")
+    ids = [key, "pred_index", "truth_index"]
+    return equal.unionByName(best.join(other.select(*ids), ids, "left_semi").select(*ids, "similarity"))
 
 
 def skill_prf(pred: DataFrame, truth: DataFrame, key=tuple(KEY)) -> DataFrame:

@@ -45,20 +45,20 @@ def _mapped(df: DataFrame, key: Column, out: str, table: DataFrame, default: Col
 
 def normalise_seniority(df: DataFrame, col: str, out="seniority", mapping=None) -> DataFrame:
     if isinstance(mapping, DataFrame):
-        return _mapped(df, values.enum_key(col), out, mapping, F.lit("unknown"))
+        return _mapped(df, F.when(~text.is_blank(col), values.enum_key(col)), out, mapping, F.lit("unknown"))
     return df.withColumn(out, values.seniority(col, mapping))
 
 
 def normalise_employment(df: DataFrame, col: str, out="employment_type", mapping=None) -> DataFrame:
     if isinstance(mapping, DataFrame):
-        return _mapped(df, values.enum_key(col), out, mapping, F.lit("unknown"))
+        return _mapped(df, F.when(~text.is_blank(col), values.enum_key(col)), out, mapping, F.lit("unknown"))
     return df.withColumn(out, values.employment(col, mapping))
 
 
 def normalise_remote(df: DataFrame, col: str, flag=None, out="remote_policy",
                      mapping=None) -> DataFrame:
     if isinstance(mapping, DataFrame):
-        df = _mapped(df, values.enum_key(col), out, mapping, F.lit("unknown"))
+        df = _mapped(df, F.when(~text.is_blank(col), values.enum_key(col)), out, mapping, F.lit("unknown"))
         if flag is None:
             return df
         return df.withColumn(out, F.when(F.col(flag), "remote").when(~F.col(flag), "unknown")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions.text import collapse, strip
 
-_PART = 2000  # rows of one token per salted part
+_PART = 1000  # rows of one token per salted part
 
 
 def trigrams(c) -> Column:
@@ -21,14 +21,13 @@ def trigrams(c) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(3))))
 
 
-def _sorted_tokens(df: DataFrame, on) -> DataFrame:
+def _rare_first(df: DataFrame) -> DataFrame:
     """Replace ``tokens`` by the same tokens from rare to common."""
     items = df.select("id", F.explode("tokens").alias("token"))
     counts = items.groupBy("token").agg(F.count("*").alias("n"))
     ranked = (items.join(counts, "token").groupBy("id")
               .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t")))
-    return df.drop("tokens").join(ranked, "id").select(
-        "id", *on, F.col("t.token").alias("tokens"))
+    return df.drop("tokens").join(ranked, "id").withColumn("tokens", F.col("t.token")).drop("t")
 
 
 def _prefixes(df: DataFrame, threshold: float) -> DataFrame:
@@ -38,35 +37,20 @@ def _prefixes(df: DataFrame, threshold: float) -> DataFrame:
             .withColumn("token", F.explode("prefix")))
 
 
-def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, on=(), where=None) -> DataFrame:
-    """Pairs (id_a, id_b, similarity) with token Jaccard of at least ``threshold``.
+def _salted(rows: DataFrame):
+    """Both sides of a join on ``token``, with tokens of many rows split into parts."""
+    hot = (rows.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > _PART)
+           .select("token", F.ceil(F.col("n") / _PART).cast("int").alias("parts")))
+    rows = rows.join(hot, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return (rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")),
+            rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
 
-    Both sides have ``id`` (unique over both), ``tokens`` (an array per id) and
-    the columns ``on``, which must be equal in a pair. ``where`` may relate the
-    columns ``a.*`` and ``b.*`` further.
-    """
-    on = list(on)
-    extra = [c for c in left.columns if c not in ("id", "tokens")]
-    same = left is right
-    both = left if same else left.withColumn("_side", F.lit("a")).unionByName(
-        right.withColumn("_side", F.lit("b")))
-    extra = extra if same else [*extra, "_side"]
-    rows = _prefixes(_sorted_tokens(both, extra), threshold)
-    key = [*on, "token"]
-    hot = (rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > _PART)
-           .select(*key, F.ceil(F.col("n") / _PART).cast("int").alias("parts")))
-    rows = rows.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    if not same:
-        a, b = a.filter("_side = 'a'"), b.filter("_side = 'b'")
+
+def _matches(a: DataFrame, b: DataFrame, key, threshold: float, where) -> DataFrame:
     a, b = a.alias("a"), b.alias("b")
-    match = F.col("a.part") == F.col("b.part")
+    match = where
     for c in key:
         match = match & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    match = match & (F.col("a.id") != F.col("b.id"))
-    if where is not None:
-        match = match & where
     na, nb = F.size("a.tokens"), F.size("b.tokens")
     match = match & (na >= nb * F.lit(threshold) - 1e-9) & (nb >= na * F.lit(threshold) - 1e-9)
     # A pair shows up once per shared prefix token; only the first of them counts.
@@ -78,6 +62,22 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, on=(), whe
             .filter(F.col("similarity") >= threshold - 1e-9))
 
 
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs id_a < id_b of rows ``(id, tokens)`` with Jaccard similarity of at least ``threshold``."""
+    a, b = _salted(_prefixes(_rare_first(sets), threshold))
+    return _matches(a, b, ["token", "part"], threshold, F.col("a.id") < F.col("b.id"))
+
+
+def similar_within(left: DataFrame, right: DataFrame, threshold: float, group: str) -> DataFrame:
+    """Pairs of left and right rows ``(id, group, tokens)`` of one group.
+
+    The group is part of the join key, so how common a token is overall does not
+    matter and any fixed order of tokens will do.
+    """
+    a, b = (_prefixes(df.withColumn("tokens", F.array_sort("tokens")), threshold) for df in (left, right))
+    return _matches(a, b, [group, "token"], threshold, F.lit(True))
+
+
 def name_keys(df: DataFrame, company="company", title="title", posting="external_id") -> DataFrame:
     """Distinct lower-case 'company title' names per source: first posting and number of copies."""
     name = F.lower(strip(collapse(F.concat_ws(" ", company, title))))
@@ -88,16 +88,23 @@ def name_keys(df: DataFrame, company="company", title="title", posting="external
 
 def fuzzy_pairs(df: DataFrame, threshold=0.6, company="company", title="title",
                 posting="external_id") -> DataFrame:
-    """Names alike in two sources. Copies of a name within a source are one row with a
-    count, so a posting repeated a million times makes one pair, not a million."""
-    names = name_keys(df, company, title, posting).withColumn("id", F.xxhash64("source", "name"))
-    tokens = names.select("id", "source", trigrams("name").alias("tokens"))
-    pairs = jaccard_join(tokens, tokens, threshold, where=F.col("a.source") < F.col("b.source"))
+    """Names alike in two sources.
+
+    Names are compared once each, whatever number of sources and postings use
+    them. Copies of a name within a source are one row with a count, so a
+    posting repeated a million times makes one pair, not a million.
+    """
+    names = name_keys(df, company, title, posting)
+    words = names.select("name").distinct()
+    pairs = similar_sets(words.select(F.col("name").alias("id"), trigrams("name").alias("tokens")), threshold)
+    same = words.select(F.col("name").alias("id_a"), F.col("name").alias("id_b"), F.lit(1.0).alias("similarity"))
+    alike = pairs.unionByName(same).unionByName(
+        pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "similarity"))
 
     def side(x):
-        return names.select(F.col("id").alias(f"id_{x}"), *[
+        return names.select(F.col("name").alias(f"id_{x}"), *[
             F.col(c).alias(f"{c}_{x}") for c in ("source", "name", "posting", "copies")])
 
-    return (pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    return (alike.join(side("a"), "id_a").join(side("b"), "id_b").filter("source_a < source_b")
             .select("source_a", "name_a", "posting_a", "copies_a",
                     "source_b", "name_b", "posting_b", "copies_b", "similarity"))

@@ -31,7 +31,7 @@ def html_sql(col: str) -> str:
 
 @query("clean_html", f"SELECT page_id, {html_sql('html')} AS text FROM pages")
 def clean_html(spark, sf):
-    return normalise.clean_html(table(spark, sf, "pages"), "html").select("page_id", "text")
+    return normalise.clean_html(table(spark, sf, "pages", busy=True), "html").select("page_id", "text")
 
 
 @query("blank_to_null", """
@@ -63,7 +63,7 @@ def standardise_salary(spark, sf):
               .otherwise(F.col("l_extendedprice").cast("string")))
     period = (F.when(F.col("l_returnflag") == "R", " Yearly ").when(F.col("l_returnflag") == "A", "hr")
               .otherwise("week"))
-    rows = table(spark, sf, "lineitem").withColumn("amount", stated).withColumn("period", period)
+    rows = table(spark, sf, "lineitem", busy=True).withColumn("amount", stated).withColumn("period", period)
     return normalise.standardise_salary(rows).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "monthly", "reason")
 
@@ -171,7 +171,7 @@ def salary_bounds_text(spark, sf):
 
 def board_rows(spark, sf):
     """Postings as the boards deliver them: prose on the forum, JSON elsewhere, some of it broken."""
-    rp = postings(spark, sf)
+    rp = postings(spark, sf, busy=True)
     prose, lang, n = F.col("raw_text"), F.col("lang"), F.col("n_chars")
     html = F.concat(F.lit("<p>"), prose, F.lit("</p>"))
     habr = F.to_json(F.struct(

@@ -73,7 +73,7 @@ SELECT page_id,
        NULLIF(trim(regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1)), '') AS advert
 FROM pages""")
 def extract_block(spark, sf):
-    pages = landed.extract_block(table(spark, sf, "pages"), "html", "article", out="article")
+    pages = landed.extract_block(table(spark, sf, "pages", busy=True), "html", "article", out="article")
     pages = landed.extract_block(pages, "html", "div", "ad", out="advert")
     return pages.select("page_id", "article", "advert")
 

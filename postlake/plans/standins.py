@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from postlake.functions.times import instant
+from postlake.operators.steps import spread
 
 AS_OF = "2024-01-31"
 DAYS = 14
 STORED_UNTIL = "2024-01-20"
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, busy=False) -> DataFrame:
+    """A given table; ``busy`` ones are spread over the cores when they are one small file."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if busy else df
 
 
 def plain(c) -> Column:
@@ -29,8 +32,8 @@ def plain(c) -> Column:
 
 # --- raw postings: a document is a posting, its latest event the time it was posted ---
 
-def postings(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
+def postings(spark, sf, busy=False) -> DataFrame:
+    docs = table(spark, sf, "documents", busy)
     seen = (table(spark, sf, "events").groupBy(F.expr("event_id div 10").alias("doc_id"))
             .agg(F.max("ts").cast("timestamp").alias("posted_at")))
     source = (F.when(F.col("doc_id") % 4 == 0, "hn").when(F.col("doc_id") % 4 == 1, "remotive")
@@ -104,7 +107,7 @@ VOCABULARIES = {
 
 def role_rows(spark, sf, with_index=False) -> DataFrame:
     """Posting-level columns plus a struct ``role``, the input of ``fill_down``."""
-    lines = table(spark, sf, "lineitem")
+    lines = table(spark, sf, "lineitem", busy=not with_index)
     if with_index:
         w = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
@@ -167,7 +170,7 @@ vx AS (
 # --- replies: an order is a posting that was read, with the flaws replies have ---
 
 def replies(spark, sf) -> DataFrame:
-    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    orders, customer = table(spark, sf, "orders", busy=True), table(spark, sf, "customer")
     x = orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
     segment, status, price = F.col("c_mktsegment"), F.col("o_orderstatus"), F.col("o_totalprice")
     quotes = F.map_filter(F.create_map(
