@@ -39,7 +39,8 @@ def corpus_profile(df: DataFrame, salary="salary_raw") -> DataFrame:
 def skill_frequency(roles: DataFrame, by=(), posting="raw_posting_id", approx=False) -> DataFrame:
     """Postings that ask for each skill. Exact counts shuffle on skill and posting
     together, so a skill most postings name is spread over all tasks."""
-    rows = roles.select(*by, F.explode("stack").alias("skill"), posting)
+    # The outer form keeps Catalyst from testing the array below, which would build it twice.
+    rows = roles.select(*by, F.explode_outer("stack").alias("skill"), posting).filter("skill IS NOT NULL")
     count = F.approx_count_distinct(posting) if approx else F.count_distinct(posting)
     return rows.groupBy(*by, "skill").agg(count.alias("postings"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import vocab
+from postlake.operators.steps import once
 
 
 def _broken(**rules: Column) -> Column:
@@ -33,7 +34,7 @@ def check_roles(df: DataFrame) -> DataFrame:
     def amount(c):
         return F.col(c).between(-2**31, 2**31 - 1)
 
-    return df.withColumn("reason", _broken(
+    return once(df, {"reason": _broken(
         posting_set=F.col("raw_posting_id").isNotNull(),
         index_set=F.col("role_index").isNotNull(),
         seniority_known=F.coalesce(F.col("seniority").isin(list(vocab.SENIORITIES)), F.lit(False)),
@@ -44,7 +45,7 @@ def check_roles(df: DataFrame) -> DataFrame:
         min_fits=amount("salary_min"),
         max_fits=amount("salary_max"),
         band_ordered=F.col("salary_max") >= F.col("salary_min"),
-    ))
+    )})
 
 
 def check_sources(df: DataFrame, allowed) -> DataFrame:

@@ -52,13 +52,13 @@ def salary_by_seniority(spark, sf):
 @query("salary_by_skill", f"""{SKILLS}
 SELECT skill, salary_currency, {_QUARTILES} FROM sk WHERE salary_min IS NOT NULL GROUP BY 1, 2""")
 def salary_by_skill(spark, sf):
-    rows = stored_roles(spark, sf).withColumn("skill", F.explode("stack"))
+    rows = stored_roles(spark, sf).withColumn("skill", F.explode_outer("stack")).filter("skill IS NOT NULL")
     return analytics.salary_distribution(rows, ["skill"])
 
 
 @query("salary_by_skill_approx")
 def salary_by_skill_approx(spark, sf):
-    rows = stored_roles(spark, sf).withColumn("skill", F.explode("stack"))
+    rows = stored_roles(spark, sf).withColumn("skill", F.explode_outer("stack")).filter("skill IS NOT NULL")
     return analytics.salary_distribution_approx(rows, ["skill"])
 
 
