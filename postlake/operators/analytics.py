@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postlake import vocab
 from postlake.functions.times import cutoff
 from postlake.operators.ranking import first_n
+from postlake.operators.steps import once
 
 
 def coverage(runs: DataFrame) -> DataFrame:
@@ -54,8 +55,8 @@ def salary_distribution(roles: DataFrame, by=(), amount="salary_min", currency="
     buckets first and over the values of one bucket then; no task holds a group.
     """
     keys = [*by, currency]
-    counts = (roles.filter(F.col(amount).isNotNull())
-              .groupBy(*keys, F.col(amount).alias("value")).agg(F.count("*").alias("rows"))
+    stated = once(roles.select(*keys, amount), {"value": F.col(amount)}).filter("value IS NOT NULL")
+    counts = (stated.groupBy(*keys, "value").agg(F.count("*").alias("rows"))
               .withColumn("_bucket", F.floor(F.col("value") / bucket)))
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("rows").alias("_rows"))
     w = Window.partitionBy(*keys)
