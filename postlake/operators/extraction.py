@@ -9,6 +9,7 @@ from postlake.operators.normalise import quarantine
 from postlake.operators.quality import check_roles
 from postlake.operators.replies import validate_replies
 from postlake.operators.roles import classify, fan_out, persist
+from postlake.session import cut_lineage
 
 
 def outcomes_of(adapted: DataFrame, checked: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def process(raw: DataFrame, runs: DataFrame, roles: DataFrame, replies: DataFram
     """Next (roles, runs, rejected roles) from the replies to pending postings."""
     adapted = adapt_boards(pending(raw, runs, sources, limit))
     checked = validate_replies(replies)
-    outcomes = outcomes_of(adapted, checked)
+    # Read by the roles, the runs and the filter below: worked out once.
+    outcomes = cut_lineage(outcomes_of(adapted, checked))
     usable = checked.join(outcomes.filter("status = 'ok' AND model <> 'prefilter'")
                           .select("raw_posting_id"), "raw_posting_id", "left_semi")
     good, bad = quarantine(check_roles(fan_out(usable, vocabularies)))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from postlake.operators import analytics, extraction, quality, replies, roles
+from postlake.session import cut_lineage
 from postlake.plans.cleaning import board_rows
 from postlake.plans.registry import query
 from postlake.plans.standins import (
@@ -163,7 +164,7 @@ def _old_roles(spark, sf):
 
 
 def _persisted(spark, sf):
-    done = outcomes(spark, sf)
+    done = cut_lineage(outcomes(spark, sf))
     good = checked(spark, sf).join(done.filter("status = 'ok' AND model <> 'prefilter'").select("raw_posting_id"),
                                    "raw_posting_id", "left_semi")
     return roles.persist(_old_roles(spark, sf), _old_runs(spark, sf), roles.fan_out(good), done, AS_OF)
