@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import packing
+from postlake.llm import language, packing, toxicity, winnowing, wordpiece
 from postlake.llm.shared import table
 
 
@@ -17,5 +19,45 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, learn=~_held_out("doc", 5, 0))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(_held_out("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, learn=~_held_out("doc", 3, 1))
+    return language.with_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(_held_out("doc_id", 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, later = word_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.with_counts(docs, first, later, mark=b" ").select("doc_id", "n_tokens")
+
+
+def word_pieces(ranks: str) -> tuple[list[bytes], list[bytes]]:
+    """The pieces of a vocabulary that begin a word, which have a space in front, and those that go on in it."""
+    with open(ranks, "rb") as lines:
+        pieces = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
+    return [p for p in pieces if p.startswith(b" ")], [p for p in pieces if not p.startswith(b" ")]
+
+
+def _held_out(key: str, parts: int, rest: int) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_language, op6_winnowing, op7_wordpiece)}
 SQL: dict[str, str] = {}
