@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import language, packing, toxicity, winnowing, wordpiece
+from postlake.llm import language, packing, pages, toxicity, warc, winnowing, wordpiece
 from postlake.llm.shared import table
 
 
@@ -19,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("page").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, learn=~_held_out("doc", 5, 0))
@@ -48,6 +53,24 @@ def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.with_counts(docs, first, later, mark=b" ").select("doc_id", "n_tokens")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, folder = table(spark, sf_dir, "pages"), warc.archive_folder(spark)
+    found = warc.read(warc.write(rows, folder), folder, rows.schema["page_id"].dataType, payload=False)
+    # A digest that does not fit what was read is no digest.
+    return found.select(F.col("page").alias("page_id"), "payload_bytes", F.when(F.col("valid"), F.col("payload_digest")).alias("payload_digest"),
+                        "record_type", "refers_to")
+
+
+SQL_WARC = """
+with rows as (select page_id, coalesce(html, '') as payload from pages),
+     keepers as (select payload, max(page_id) as keeper from rows where strlen(payload) >= 1000 group by payload)
+select page_id, strlen(r.payload)::bigint as payload_bytes, sha1(r.payload) as payload_digest,
+       case when keeper is not null and page_id is distinct from keeper then 'revisit' else 'response' end as record_type,
+       case when page_id is distinct from keeper then keeper end as refers_to
+from rows r left join keepers k on r.payload = k.payload
+"""
+
+
 def word_pieces(ranks: str) -> tuple[list[bytes], list[bytes]]:
     """The pieces of a vocabulary that begin a word, which have a space in front, and those that go on in it."""
     with open(ranks, "rb") as lines:
@@ -59,5 +82,5 @@ def _held_out(key: str, parts: int, rest: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_language, op6_winnowing, op7_wordpiece)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op6_winnowing, op7_wordpiece, op8_warc)}
+SQL: dict[str, str] = {"op8_warc": SQL_WARC}
