@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import jaccard, language, packing, pages, toxicity, warc, winnowing, wordpiece
+from postlake.llm import jaccard, language, lattice, packing, pages, toxicity, warc, winnowing, wordpiece
 from postlake.llm.shared import table
 
 
@@ -61,6 +61,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "record_type", "refers_to")
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.col("vec").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -87,5 +93,5 @@ def _held_out(key: str, parts: int, rest: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op6_winnowing, op7_wordpiece, op8_warc, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard)}
 SQL: dict[str, str] = {"op8_warc": SQL_WARC}
