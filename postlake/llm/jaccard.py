@@ -69,7 +69,7 @@ def signature(tokens: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    schema = T.StructType([docs.schema["doc"], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()),
+    schema = T.StructType([docs.schema["doc"], docs.schema["text_hash"], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()),
                            T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())),
                            T.StructField("sketch", T.BinaryType())])
 
@@ -81,7 +81,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 # A set of one element is similar to its equals alone, which its digest finds.
                 signed = [signature(s) if len(s) > 1 else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc").slice(start, len(run)), pa.array(range(row, row + len(run)), pa.int64()),
+                    [rows.column("doc").slice(start, len(run)), rows.column("text_hash").slice(start, len(run)), pa.array(range(row, row + len(run)), pa.int64()),
                      pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                      pa.array([k for k, _ in signed], pa.list_(pa.int64())), pa.array([s for _, s in signed], pa.binary())],
@@ -195,10 +195,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
     Documents without a word have no shingles and link with nothing. Repeated rows are documents that are
     equal; null keys take part, but the component is named by the smallest key that is not null.
-    Returns ``doc`` (the key), ``n_shingles``, ``component`` (smallest key of the component). Columns but those
-    named are not read.
+    Returns ``doc`` (the key), ``text_hash`` (xxhash64 of the text), ``n_shingles``, ``component`` (smallest key of the component),
+    ``group`` (a number of the component, null without words). Columns but those named are not read.
     """
-    wanted = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    wanted = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     signed = stored(_signed(wanted), "signatures")
     classes = stored(signed.where("digest is not null").groupBy("digest").agg(
         F.min("row").alias("node"), F.min("doc").alias("least")), "classes")
@@ -233,6 +233,6 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
     found = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("least").alias("name"))
-    named = found.join(least, "component").select("digest", "name")
-    return signed.select("doc", "n", "digest").join(named, "digest", "left").select(
-        "doc", F.col("n").alias("n_shingles"), F.coalesce("name", "doc").alias("component"))
+    named = found.join(least, "component").select("digest", "name", F.col("component").alias("group"))
+    return signed.select("doc", "text_hash", "n", "digest").join(named, "digest", "left").select(
+        "doc", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component"), "group")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import jaccard, language, lattice, packing, pages, toxicity, warc, winnowing, wordpiece
+from postlake.llm import jaccard, language, lattice, packing, pages, suffixes, toxicity, warc, winnowing, wordpiece
 from postlake.llm.shared import table
 
 
@@ -39,6 +39,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(_held_out("doc_id", 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("_words").alias("n_words"), F.col("_cut").alias("n_cut"), F.col("_text").alias("text"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
@@ -93,5 +98,5 @@ def _held_out(key: str, parts: int, rest: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op5_suffixes, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard)}
 SQL: dict[str, str] = {"op8_warc": SQL_WARC}

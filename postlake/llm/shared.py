@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from postlake.session import shared_folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,9 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     What reads it neither repeats the work nor depends on an executor's disk.
     The table stays until ``discard``: a frame that reads it may be used late.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:  # nothing else will read this job's shuffles
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    again = spark.read.schema(df.schema).parquet(path)
     again.stored_at = path
     return again
 

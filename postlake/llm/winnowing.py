@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.shared import batches
+from postlake.llm.shared import batches, stored
 from postlake.llm.words import Words, grams, window_minima, words
 
 #: Bytes in a MB of a block.
@@ -90,6 +90,43 @@ def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _blocks(items: DataFrame, key: str, text: str, window: int, gram: int, block_mb: int) -> list:
+    """The items' indexes, each of about ``block_mb`` MB of text at most, sent to all tasks."""
+    spark = items.sparkSession
+    size = items.select(F.sum(F.octet_length(text))).first()[0] or 0
+    n = -(-size // (block_mb * BLOCK)) or 1
+    named = items.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = []
+    for block in range(n):
+        rows = named.where(F.pmod(F.xxhash64("item"), F.lit(n)) == block).collect()
+        found.append(spark.sparkContext.broadcast(Index([r.item for r in rows], [r.text.encode() for r in rows], window, gram)))
+    return found
+
+
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10,
+                  gram: int = 5, block_mb: int = 16) -> DataFrame:
+    """The rows of ``docs`` of which no word lies in ``window`` words in a row of an item; all columns stay.
+
+    Words, short items, nulls and repeated rows count as in ``find_items``. Documents are not shuffled; with several
+    blocks, what one leaves is written down before the next.
+    """
+    for n, index in enumerate(_blocks(items, item_key, item_text, window, gram, block_mb)):
+        docs = (stored(docs, "decontaminated") if n else docs).where(~_hit(index)(F.col(text).cast("binary")))
+    return docs
+
+
+def _hit(index):
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, run in batches(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            w = words(run)
+            found.append(np.bincount(w.owner[index.value.hits(w)[0]], minlength=len(run)) > 0)
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
+
+    return hit
+
+
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                item_text: str = "text", window: int = 10, gram: int = 5, block_mb: int = 16) -> DataFrame:
     """Which words of each document lie in ``window`` words in a row of a benchmark item.
@@ -104,22 +141,16 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     Returns ``doc`` (the key), ``n_words``, ``spans`` (word ranges that are hit, apart from each other),
     ``items`` (keys of the items found, as sorted strings).
     """
-    size = items.select(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = -(-size // (block_mb * BLOCK)) or 1
-    named = items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("null")).alias("item"),
-                         F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    blocks = _blocks(items, item_key, item_text, window, gram, block_mb)
     wanted = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     span = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
     schema = T.StructType([wanted.schema["doc"], T.StructField("digest", T.BinaryType()),
                            T.StructField("n_words", T.LongType()), T.StructField("spans", span),
                            T.StructField("items", T.ArrayType(T.StringType()))])
+    many = len(blocks) > 1
     shape = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
-    def against(block: int) -> DataFrame:
-        rows = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        index = docs.sparkSession.sparkContext.broadcast(
-            Index([r.item for r in rows], [r.text.encode() for r in rows], window, gram))
-
+    def against(index) -> DataFrame:
         def scan(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
@@ -136,7 +167,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                             near = np.unique(np.stack([a[own], b[own]], 1) - w.first[doc], axis=0)
                             spans[doc] = [{"from": x, "to": y} for x, y in _merged(near)]
                             names[doc] = sorted({index.value.ids[i] for i in np.unique(item[own])})
-                    digests = [xxhash.xxh128_digest(t) if blocks > 1 else b"" for t in texts]
+                    digests = [xxhash.xxh128_digest(t) if many else b"" for t in texts]
                     yield pa.RecordBatch.from_arrays(
                         [rows.column("doc").slice(start, len(texts)), pa.array(digests, pa.binary()),
                          pa.array(np.diff(w.first), pa.int64()), pa.array(spans, shape),
@@ -144,14 +175,14 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         return wanted.mapInArrow(scan, schema)
 
-    found = reduce(DataFrame.unionAll, map(against, range(blocks)))
-    if blocks == 1:
+    found = reduce(DataFrame.unionAll, map(against, blocks))
+    if not many:
         return found.drop("digest")
     # Rows of one document meet again by key and digest; as many as went in come out.
     met = found.groupBy("doc", "digest").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        (F.count("*") / blocks).cast("int").alias("n"))
+        (F.count("*") / len(blocks)).cast("int").alias("n"))
     joined = F.aggregate("spans", F.expr("cast(array() as array<struct<from: bigint, to: bigint>>)"), lambda done, s: (
         F.when((F.size(done) > 0) & (s["from"] <= F.element_at(done, -1)["to"]), F.concat(
             F.slice(done, F.lit(1), F.size(done) - 1),

@@ -87,24 +87,42 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total), w.owner[:n] == w.owner[k - 1:]
 
 
-def window_minima(values: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """Which values are the least of some ``width`` neighbours that are all valid (ties: all of them).
+def long_grams(w: Words, k: int) -> np.ndarray:
+    """Hashes of runs of ``k`` words by their first word, at a cost that does not depend on ``k``."""
+    n = len(w.hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    ahead, back = _powers(len(w.hashes) + 1)
+    sums = np.zeros(len(w.hashes) + 1, U)
+    np.cumsum(w.hashes * ahead[:len(w.hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * back[:n])
+
+
+def window_least(values: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each value and the next ``width - 1``, and where all of them are valid.
 
     Neighbours must belong to one text: a stretch of valid values never spans two, since the last
-    values of a text are not valid. A stretch shorter than ``width`` has no window.
+    values of a text are not valid.
     """
-    n = len(values)
-    chosen = np.zeros(n, bool)
-    count = n - width + 1
+    count = len(values) - width + 1
     if count <= 0:
-        return chosen
-    least, done = values.copy(), 1
+        return np.zeros(0, U), np.zeros(0, bool)
+    least, done = values, 1
     while done < width:  # least[i] covers values[i:i + done]
         step = min(done, width - done)
         least = np.minimum(least[:len(least) - step], least[step:])
         done += step
     bad = np.concatenate([[0], np.cumsum(~valid)])
-    whole = bad[width:] == bad[:count]
-    for j in range(width):
-        chosen[j:j + count] |= whole & (values[j:j + count] == least)
+    return least, bad[width:] == bad[:count]
+
+
+def window_minima(values: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
+    """Which values are the least of some ``width`` neighbours that are all valid (ties: all of them).
+
+    A stretch shorter than ``width`` has no window.
+    """
+    chosen = np.zeros(len(values), bool)
+    least, whole = window_least(values, valid, width)
+    for j in range(width if len(least) else 0):
+        chosen[j:j + len(least)] |= whole & (values[j:j + len(least)] == least)
     return chosen

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from postlake.llm.winnowing import find_items
+from postlake.llm.winnowing import find_items, without_items
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -53,7 +53,11 @@ def test_equals_brute_force(spark, seed, block, monkeypatch):
     monkeypatch.setattr("postlake.llm.winnowing.BLOCK", block)
     got = [(r.doc, r.n_words, tuple(i for s in r.spans for i in range(s["from"], s.to)), tuple(r["items"]))
            for r in find_items(left, right).collect()]
-    assert sorted(got, key=repr) == _brute(docs, items)
+    want = _brute(docs, items)
+    assert sorted(got, key=repr) == want
+    clean = without_items(left, right)
+    assert clean.columns == left.columns
+    assert sorted((str(r.doc_id) for r in clean.collect())) == sorted(str(d) for d, _, hit, _ in want if not hit)
 
 
 def test_empty_tables(spark):
