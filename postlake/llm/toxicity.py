@@ -66,13 +66,13 @@ def _raw(owner, term, n, weights, factors, bias):
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text",
-        label: str = "toxic", per_class: int = 15_000, n_terms: int = 2048, rank: int = 4, rounds: int = 200) -> Model:
+        label: str = "toxic", per_class: int = 15_000, n_terms: int = 2048, rank: int = 4, rounds: int = 200, least_ratio: float = 8.0) -> Model:
     """Learn from labelled documents for which ``learn`` (a condition over ``doc``, their key) holds.
 
     Of each class about ``per_class`` documents at most are read, chosen by a hash of their key: the bound of the
-    labelled sample, of what is sent to all tasks and of what returns. Its terms are counted per class, those
-    that tell the classes apart best get a weight and ``rank`` factors each, fitted by gradient steps; the
-    bias is set right for the share of each class among all rows. Rows with a null key or label are not
+    labelled sample, of what is sent to all tasks and of what returns. Its terms are counted per class; the ``n_terms``
+    that tell the classes apart best, by a log-likelihood ratio of ``least_ratio`` or more, get a weight and ``rank``
+    factors each, fitted by gradient steps; the bias is set right for the share of each class among all rows. Rows with a null key or label are not
     used; of rows with one key the first label counts. With a single class every score is its rate,
     without any label 0.
     """
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     # Log-likelihood ratio of the two rates, against one rate for both.
     both = (a + b) / (n1 + n0 + 2)
     ratio = a * F.log(a / (n1 + 1) / both) + b * F.log(b / (n0 + 1) / both)
-    best = counted.where("a + b >= 3").withColumn("ratio", ratio).orderBy(F.desc("ratio"), "term").limit(n_terms)
+    best = counted.where("a + b >= 3").withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "term").limit(n_terms)
     chosen = np.sort(np.array([r.term for r in best.select("term").collect()], U))
     bare = Model.of(chosen, np.zeros(len(chosen)), np.zeros((len(chosen), rank)), 0.0)
     places = docs.sparkSession.sparkContext.broadcast(bare)
@@ -145,7 +145,7 @@ def _fit(model: Model, owner, term, label, rank: int, rounds: int, shift: float)
         raw, sums = _raw(owner, term, n, *state[:2], state[2][0])
         off = (_logistic(raw) - label) / n
         each = off[owner]
-        slope = [np.bincount(term, each, m) + 1e-5 * state[0],
+        slope = [np.bincount(term, each, m) + 1e-4 * state[0],
                  np.stack([np.bincount(term, each * (sums[owner, f] - state[1][term, f]), m) for f in range(rank)], 1)
                  + 1e-4 * state[1], np.array([off.sum()])]
         for x, d, u, v in zip(state, slope, first, second, strict=True):
