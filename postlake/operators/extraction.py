@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake import vocab
 from postlake.operators.adapt import adapt_boards
 from postlake.operators.keys import pending
-from postlake.operators.normalise import quarantine
 from postlake.operators.quality import check_roles
 from postlake.operators.replies import validate_replies
 from postlake.operators.roles import classify, fan_out, persist
@@ -25,15 +25,34 @@ def outcomes_of(adapted: DataFrame, checked: DataFrame) -> DataFrame:
     return classify(done)
 
 
+def settle(adapted: DataFrame, checked: DataFrame, vocabularies=None):
+    """(outcomes, roles, rejected roles) of the attempted postings, each worked out and written down once.
+
+    A posting stands or falls as a whole: with one role that breaks a rule it is ``invalid``, the rules are
+    its error, and all its roles are rejected.
+    """
+    tried = cut_lineage(outcomes_of(adapted, checked))
+    usable = checked.join(tried.filter("status = 'ok' AND model <> 'prefilter'")
+                          .select("raw_posting_id"), "raw_posting_id", "left_semi")
+    rows = cut_lineage(check_roles(fan_out(usable, vocabularies)))
+    told = F.transform("reason", lambda r: F.concat(F.lit("role "), F.col("role_index"), F.lit(": "), r))
+    broken = rows.filter(F.size("reason") > 0).groupBy("raw_posting_id").agg(
+        F.array_join(F.array_sort(F.flatten(F.collect_list(told))), "; ").alias("broken"))
+    fell = F.col("broken").isNotNull()
+    outcomes = tried.join(broken, "raw_posting_id", "left").withColumns({
+        "status": F.when(fell, "invalid").otherwise(F.col("status")),
+        "error": F.when(fell, F.substring("broken", 1, vocab.ERROR_CHARS)).otherwise(F.col("error")),
+        "doc_type": F.when(~fell, F.col("doc_type")),
+        "role_count": F.when(fell, 0).otherwise(F.col("role_count"))}).drop("broken")
+    names = broken.select("raw_posting_id")
+    return (cut_lineage(outcomes), rows.join(names, "raw_posting_id", "left_anti").drop("reason"),
+            rows.join(names, "raw_posting_id", "left_semi"))
+
+
 def process(raw: DataFrame, runs: DataFrame, roles: DataFrame, replies: DataFrame, as_of,
             sources=None, limit=None, vocabularies=None):
     """Next (roles, runs, rejected roles) from the replies to pending postings."""
     adapted = adapt_boards(pending(raw, runs, sources, limit))
-    checked = validate_replies(replies)
-    # Read by the roles, the runs and the filter below: worked out once.
-    outcomes = cut_lineage(outcomes_of(adapted, checked))
-    usable = checked.join(outcomes.filter("status = 'ok' AND model <> 'prefilter'")
-                          .select("raw_posting_id"), "raw_posting_id", "left_semi")
-    good, bad = quarantine(check_roles(fan_out(usable, vocabularies)))
+    outcomes, good, bad = settle(adapted, validate_replies(replies), vocabularies)
     next_roles, next_runs = persist(roles, runs, good, outcomes, as_of)
     return next_roles, next_runs, bad

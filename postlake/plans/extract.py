@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postlake.operators import analytics, extraction, quality, replies, roles
-from postlake.session import cut_lineage
+from postlake.operators.adapt import adapt_boards
 from postlake.plans.cleaning import board_rows
 from postlake.plans.registry import query
 from postlake.plans.standins import (
@@ -132,8 +132,6 @@ att2 AS (
 
 
 def outcomes(spark, sf):
-    from postlake.operators.adapt import adapt_boards
-
     raw = board_rows(spark, sf).withColumnRenamed("id", "raw_posting_id")
     return extraction.outcomes_of(adapt_boards(raw), checked(spark, sf))
 
@@ -163,11 +161,14 @@ def _old_roles(spark, sf):
         F.create_map().cast("map<string,string>").alias("source_quotes"), at.alias("created_at"), at.alias("updated_at"))
 
 
-def _persisted(spark, sf):
-    done = cut_lineage(outcomes(spark, sf))
-    good = checked(spark, sf).join(done.filter("status = 'ok' AND model <> 'prefilter'").select("raw_posting_id"),
-                                   "raw_posting_id", "left_semi")
-    return roles.persist(_old_roles(spark, sf), _old_runs(spark, sf), roles.fan_out(good), done, AS_OF)
+def _persisted(spark, sf, broken=False):
+    """(roles, runs, rejected roles) after the replies; with ``broken`` some salary bands are upside down."""
+    raw = board_rows(spark, sf).withColumnRenamed("id", "raw_posting_id")
+    read = checked(spark, sf)
+    if broken:
+        read = read.withColumn("salary_min", F.when(F.col("company").endswith("7"), "$9999k").otherwise(F.col("salary_min")))
+    outcomes, good, bad = extraction.settle(adapt_boards(raw), read)
+    return *roles.persist(_old_roles(spark, sf), _old_runs(spark, sf), good, outcomes, AS_OF), bad
 
 
 @query("persisted_roles", f"""{_ATTEMPTS}
@@ -177,7 +178,7 @@ UNION ALL
 SELECT raw_posting_id, unnest(range(role_count)), company, TIMESTAMP '{AS_OF}'
 FROM att2 JOIN (SELECT raw_posting_id, company FROM rep) USING (raw_posting_id) WHERE role_count > 0""")
 def persisted_roles(spark, sf):
-    after, _ = _persisted(spark, sf)
+    after, _, _ = _persisted(spark, sf)
     return after.select("raw_posting_id", "role_index", "company", plain("created_at").alias("created_at"))
 
 
@@ -188,7 +189,7 @@ FROM labels WHERE doc_id NOT IN (SELECT raw_posting_id FROM att2)
 UNION ALL
 SELECT raw_posting_id, status, doc_type, role_count, model, TIMESTAMP '{AS_OF}' FROM att2""")
 def persisted_runs(spark, sf):
-    _, after = _persisted(spark, sf)
+    _, after, _ = _persisted(spark, sf)
     return after.select("raw_posting_id", "status", "doc_type", "role_count", "model",
                         plain("extracted_at").alias("extracted_at"))
 
@@ -197,10 +198,38 @@ def persisted_runs(spark, sf):
 SELECT raw_posting_id, status, role_count, 1 AS stored FROM att2
 WHERE status <> 'ok' AND raw_posting_id IN (SELECT doc_id FROM labels)""")
 def role_count_mismatch(spark, sf):
-    after_roles, after_runs = _persisted(spark, sf)
+    after_roles, after_runs, _ = _persisted(spark, sf)
     return quality.role_count_mismatch(after_runs, after_roles)
 
 
+_BROKEN = f"""{_ATTEMPTS},
+broken AS (SELECT raw_posting_id FROM att2 JOIN (SELECT raw_posting_id, company, status AS order_status FROM rep) USING (raw_posting_id)
+           WHERE role_count > 0 AND order_status = 'O' AND company LIKE '%7')"""
+
+
+@query("persisted_with_bad_roles", f"""{_BROKEN}
+SELECT raw_posting_id, CASE WHEN b THEN 'invalid' ELSE status END AS status, CASE WHEN b THEN NULL ELSE doc_type END AS doc_type,
+       CASE WHEN b THEN 0 ELSE role_count END AS role_count, CASE WHEN b THEN 'role 0: band_ordered' ELSE error END AS error,
+       CAST(CASE WHEN b OR status <> 'ok' THEN old ELSE role_count END AS BIGINT) AS stored
+FROM (SELECT *, raw_posting_id IN (SELECT raw_posting_id FROM broken) AS b,
+             CAST(raw_posting_id IN (SELECT doc_id FROM labels) AS INT) AS old FROM att2)
+UNION ALL
+SELECT doc_id, CASE WHEN toxic = 1 THEN 'invalid' ELSE 'ok' END, 'posting', 1, NULL, 1
+FROM labels WHERE doc_id NOT IN (SELECT raw_posting_id FROM att2)""")
+def persisted_with_bad_roles(spark, sf):
+    after, runs, _ = _persisted(spark, sf, broken=True)
+    stored = after.groupBy("raw_posting_id").agg(F.count("*").alias("stored"))
+    return runs.join(stored, "raw_posting_id", "left").select(
+        "raw_posting_id", "status", "doc_type", "role_count", "error", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
+@query("rejected_roles", f"""{_BROKEN}
+SELECT raw_posting_id, unnest([0, 1]) AS role_index, unnest(['band_ordered', '']) AS reason FROM broken""")
+def rejected_roles(spark, sf):
+    return _persisted(spark, sf, broken=True)[2].select(
+        "raw_posting_id", "role_index", F.array_join("reason", ",").alias("reason"))
+
+
 @query("coverage", f"{_ATTEMPTS} SELECT status, doc_type, count(*) AS runs FROM att2 GROUP BY ALL")
 def coverage(spark, sf):
     return analytics.coverage(outcomes(spark, sf))

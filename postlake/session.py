@@ -5,9 +5,13 @@ import re
 import shutil
 import tempfile
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,9 +60,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so that lost executors cost no re-run."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read again, so that a lost executor or a second reader costs
+    no re-run. ``stored_at`` of the result names the folder; its shuffle files go with the write."""
+    spark = df.sparkSession
+    df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.stored_at = path
+    return again

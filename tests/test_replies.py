@@ -141,22 +141,26 @@ def test_process_and_persist(spark):
     runs = spark.createDataFrame([(7, "error", None, 0, "m", "x", None)], RUNS)
     replies = spark.createDataFrame([
         (1, "m", json.dumps({**POSTING, "roles": [{}, {"salary_max": "$6k", "source_quotes": {"salary": "z"}}]}), None),
+        (6, "m", json.dumps({**POSTING, "roles": [{}, {}]}), None),
         (2, "m", json.dumps(POSTING), None), (4, "m", "{", None), (5, "m", None, "t" * 600)], REPLIES)
-    roles = spark.createDataFrame([], ROLES)
+    old = {f.name: None for f in ROLES} | {"raw_posting_id": 1, "role_index": 5, "stack": [], "source_quotes": {}}
+    roles = spark.createDataFrame([tuple(old.values())], ROLES)
     new_roles, new_runs, bad = extraction.process(raw, runs, roles, replies, "2026-01-02")
     got = {r["raw_posting_id"]: (r["status"], r["model"], r["doc_type"], r["role_count"]) for r in new_runs.collect()}
-    assert got == {1: ("ok", "m", "posting", 2), 2: ("ok", "prefilter", "other", 0), 3: ("error", "adapter", None, 0),
+    assert got == {1: ("invalid", "m", None, 0), 6: ("ok", "m", "posting", 2), 2: ("ok", "prefilter", "other", 0), 3: ("error", "adapter", None, 0),
                    4: ("invalid", "m", None, 0), 5: ("error", "m", None, 0), 7: ("error", "m", None, 0)}
     assert len(new_runs.filter("raw_posting_id = 5").first()["error"]) == 500
-    assert [(r["raw_posting_id"], r["role_index"]) for r in new_roles.collect()] == [(1, 0)]
-    assert bad.count() == 1
+    # One bad role fails its posting as a whole: old roles stay, all its new ones are rejected.
+    assert sorted((r["raw_posting_id"], r["role_index"]) for r in new_roles.collect()) == [(1, 5), (6, 0), (6, 1)]
+    assert sorted((r["role_index"], len(r["reason"])) for r in bad.collect()) == [(0, 0), (1, 1)]
+    assert new_runs.filter("raw_posting_id = 1").first()["error"] == "role 1: band_ordered"
     # An invalid second attempt keeps the roles, a good one replaces them.
     out = spark.createDataFrame([(1, "invalid", None, 0, "m", "e", None)], RUNS).drop("extracted_at")
     kept, after = persist(new_roles, new_runs, new_roles.limit(0), out, "2026-01-03")
-    assert kept.count() == 1 and after.filter("raw_posting_id = 1").first()["status"] == "invalid"
+    assert kept.count() == 3 and after.filter("raw_posting_id = 1").first()["status"] == "invalid"
     out = out.withColumn("status", F.lit("ok"))
     kept, _ = persist(new_roles, new_runs, new_roles.limit(0), out, "2026-01-03")
-    assert kept.count() == 0
+    assert kept.count() == 2
 
 
 def test_embed_text(spark):
