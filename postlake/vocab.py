@@ -129,7 +129,7 @@ SKILL_ALIASES = {
     "ci/cd": "ci-cd", "cicd": "ci-cd",
     "java spring framework": "spring", "spring boot": "spring",
     "oracle pl/sql": "plsql", "pl/sql": "plsql",
-    "гост": "gost", "объектное хранилище s3": "s3",
+    "гост": "gost", "объектное хранилище s3": "s3", "1с": "1c",
 }
 LOOKALIKES_CYRILLIC = "АВЕКМНОРСТУХаеорсух"
 LOOKALIKES_LATIN = "ABEKMHOPCTYXaeopcyx"
