@@ -41,7 +41,7 @@ class Model(NamedTuple):
     #: Log-likelihood of each n-gram in each language, n-grams by rows.
     logs: np.ndarray
 
-    def mixture(self, text: bytes, penalty: float, rounds: int = 30) -> tuple[list[int], np.ndarray]:
+    def mixture(self, text: bytes, penalty: float, rounds: int = 15) -> tuple[list[int], np.ndarray]:
         """Languages of the text, and their shares of it.
 
         Expectation-maximisation over all languages ranks them. Of the first one, two, ... that set is taken
@@ -50,34 +50,36 @@ class Model(NamedTuple):
         of lengths.
         """
         found, count = np.unique(grams(text), return_counts=True)
-        logs = self.logs[found]
-        top = logs.max(1, keepdims=True) if len(found) else logs
-        chance, total = np.exp(logs - top), count.sum()
-
-        def shares(among):
-            own = chance[:, among]
-            part = np.full(len(among), 1 / len(among))
-            for _ in range(rounds if len(among) > 1 else 1):
-                mixed = own @ part
-                new = part * ((count / mixed) @ own) / total
-                done, part = np.abs(new - part).max() < 1e-4, new
-                if done:
-                    break
-            return part, (count @ np.log(own @ part + 1e-300)) / len(ORDERS)
-
-        if not total:
+        if not len(found):
             return [0], np.ones(1)
-        every = list(range(len(self.languages)))
-        order = np.argsort(-shares(every)[0], kind="stable")
-        best, value = None, -np.inf
-        for size in range(1, len(order) + 1):
-            among = sorted(order[:size].tolist())
-            part, likely = shares(among)
-            likely -= penalty * (size - 1) * np.log(total) / 2
+        logs, count = self.logs[found], count.astype(np.float32)
+        top = logs.max(1, keepdims=True)
+        chance, total = np.exp(logs - top), count.sum()
+        part = _shares(chance, count / total, rounds)
+        order = np.argsort(-part, kind="stable").tolist()
+        best, part = order[:1], np.ones(1)
+        value = count @ (logs[:, best[0]] - top[:, 0]) / len(ORDERS)
+        cost = penalty * np.log(total) / 2
+        for size in range(2, len(order) + 1):
+            among = sorted(order[:size])
+            own = np.ascontiguousarray(chance[:, among])
+            shares = _shares(own, count / total, rounds)
+            likely = count @ np.log(own @ shares + 1e-30) / len(ORDERS) - cost * (size - 1)
             if likely <= value:
                 break
-            best, value = (among, part), likely
-        return best
+            best, part, value = among, shares, likely
+        return best, part
+
+
+def _shares(chance: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
+    """Shares of the columns' languages by expectation-maximisation from equal shares."""
+    part = np.full(chance.shape[1], 1 / chance.shape[1], np.float32)
+    for _ in range(rounds):
+        new = part * ((weight / (chance @ part)) @ chance)
+        done, part = abs(new - part).max() < 1e-3, new
+        if done:
+            break
+    return part
 
 
 def fit(docs: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang",
