@@ -1,6 +1,5 @@
 """The streaming jobs run over the given tables until they have caught up."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,20 +8,16 @@ from postlake.plans.registry import query
 from postlake.plans.standins import (
     AS_OF, DAYS, POSTINGS_SQL, STORED_SQL, plain, postings, stored, table,
 )
-from postlake.sources.snapshots import read_snapshot, write_snapshot
+from postlake.session import shared_folder
+from postlake.sources.buckets import read_table, replace_rows
 from postlake.streaming import jobs
 
 RP = f"WITH {POSTINGS_SQL}"
 
 
 def scratch(spark) -> str:
-    """New folder below the one all executors share; a local session may use its own disk."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="postlake-streams-")
-    return f"{base}/streams-{uuid.uuid4().hex}"
+    """New folder below the one all executors share."""
+    return f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
 
 
 def land(spark, sf, df, name):
@@ -53,10 +48,10 @@ def stream_upsert(spark, sf):
     rows = postings(spark, sf).withColumn("raw_text", F.when(
         F.col("lang") == "en", F.concat("raw_text", F.lit("!"))).otherwise(F.col("raw_text")))
     dest = scratch(spark)
-    write_snapshot(stored(spark, sf), f"{dest}/table")
+    replace_rows(stored(spark, sf), f"{dest}/table")
     jobs.stream_upsert(land(spark, sf, rows, "postings"), dest, f"{dest}/state", ["id"], AS_OF, DAYS
                        ).awaitTermination()
-    return read_snapshot(spark, f"{dest}/table").select(
+    return read_table(spark, f"{dest}/table").select(
         "source", "external_id", "raw_text", plain("updated_at").alias("updated_at"))
 
 

@@ -132,7 +132,8 @@ def test_adapt_boards(spark, tmp_path):
 def test_load_all(spark, tmp_path):
     root = str(tmp_path / "db")
     paths = {"hn": write(tmp_path, "hn", HN), "remotive": write(tmp_path, "remotive", REMOTIVE),
-             "web3": write(tmp_path, "web3", {"broken": 1}), "habr": write(tmp_path, "habr", HABR)}
+             "web3": write(tmp_path, "web3", {"broken": 1}),
+             "habr": write(tmp_path, "habr", {**HABR, "list": [*HABR["list"], {"id": 33, "publishedDate": {"date": "soon"}}]})}
     pages = spark.createDataFrame([("31", '<div class="vacancy-description__text">D</div>')],
                                   "external_id string, html string")
     as_of = "2026-08-10"
@@ -142,7 +143,9 @@ def test_load_all(spark, tmp_path):
 
     first = run()
     assert {s: (r["inserted"], r["failed"], r["error"] is None) for s, r in first.items()} == {
-        "hn": (1, 1, True), "remotive": (1, 0, True), "web3": (0, 0, False), "habr": (2, 0, True)}
+        "hn": (1, 1, True), "remotive": (1, 0, True), "web3": (0, 0, False), "habr": (2, 1, True)}
+    assert (first["habr"]["cards"], first["habr"]["missing"], first["habr"]["alarm"]) == (3, 2, True)
+    assert [r["reason"] for r in spark.read.parquet(f"{root}/raw/habr/rejects/*").collect()] == [["posted_at_set"]]
     again = run()
     assert all(r["inserted"] == r["updated"] == 0 for r in again.values())
     assert again["remotive"]["unchanged"] == 1 and again["habr"]["unchanged"] == 0
