@@ -2,7 +2,7 @@
 
 
 def _load():
-    from postlake.plans import cleaning, extract, ingest, reports, scores, search, streams  # noqa: F401
+    from postlake.plans import cleaning, extract, ingest, landing, reports, scores, search, streams  # noqa: F401
     from postlake.plans.registry import QUERIES, SQL
 
     return QUERIES, SQL
