@@ -23,13 +23,6 @@ def run_stats(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(*status, *sums)
 
 
-def observe_outcomes(outcomes: DataFrame, observation) -> DataFrame:
-    """The same rows, with totals readable from ``observation`` once a job has run over them."""
-    return outcomes.observe(observation, *[
-        F.count_if(F.col("status") == s).alias(s) for s in vocab.RUN_STATUSES],
-        F.coalesce(F.sum("role_count"), F.lit(0)).alias("roles"))
-
-
 def corpus_profile(df: DataFrame, salary="salary_raw") -> DataFrame:
     """Postings per source and the share that states a salary."""
     return df.groupBy("source").agg(

@@ -59,15 +59,6 @@ def route(df: DataFrame, text="text", min_chars=vocab.PREFILTER_MIN_CHARS) -> Da
     return df.withColumn("prefilter", F.when(forum | (F.trim(c) == "") | c.isNull(), "other"))
 
 
-def to_extract(routed: DataFrame) -> DataFrame:
-    """Rows a scorer has to see; put this before any ``mapInPandas``."""
-    return routed.filter(F.col("prefilter").isNull())
-
-
-def prefiltered(routed: DataFrame) -> DataFrame:
-    return routed.filter(F.col("prefilter").isNotNull())
-
-
 def exclude(df: DataFrame, ids: DataFrame | None = None, companies: DataFrame | None = None,
             id_col="external_id", company_col="company") -> DataFrame:
     """Drop listed ids and listed companies. Lists are one-column tables of any size."""

@@ -4,16 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """One partition per core for a scan that has fewer, so that costly row work uses all cores.
-
-    Large inputs have more splits than cores and pass untouched. Only for plans
-    without a shuffle, whose partition count is known before they run.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def once(df: DataFrame, cols: dict) -> DataFrame:
     """Add or replace columns that are computed one time per row.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from postlake.functions.times import instant
-from postlake.operators.steps import spread
+from postlake.session import configure
 
 AS_OF = "2024-01-31"
 DAYS = 14
@@ -18,12 +18,16 @@ STORED_UNTIL = "2024-01-20"
 
 def table(spark: SparkSession, sf: str, name: str, busy=False) -> DataFrame:
     """A given table; ``busy`` ones are spread over the cores when they are one small file."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    df = configure(spark).read.parquet(f"{sf}/{name}.parquet")
     return spread(df) if busy else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for a stand-in whose small file is one partition, so that its costly rows use all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def plain(c) -> Column:
     """Zone-free form of an instant, to compare with engines without one."""
     c = F.col(c) if isinstance(c, str) else c

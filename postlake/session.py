@@ -4,13 +4,15 @@ import atexit
 import re
 import shutil
 import tempfile
-
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 SETTINGS = {
@@ -26,12 +28,27 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that already exists."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    """Apply the runtime settings to a session that already exists and send it the package, once."""
+    if spark.sparkContext.applicationId not in _SHIPPED:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to all Python workers, wherever the driver was started from; once for a session."""
+    root = Path(__file__).parent
+    if spark.sparkContext.applicationId in _SHIPPED or not root.is_dir():  # or it runs from an archive already
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="postlake-package-")) / "postlake.zip"
+    with zipfile.ZipFile(path, "w") as package:
+        for file in sorted(root.rglob("*.py")):
+            package.write(file, Path(root.name) / file.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def local_session(cores="*", shuffle_partitions=8, memory="8g") -> SparkSession:
     """Session for tests and for the benchmark on one machine."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("postlake")
