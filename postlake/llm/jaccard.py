@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake.llm.components import components
-from postlake.llm.shared import batches, stored
+from postlake.llm.shared import batches, groups, stored
 from postlake.llm.words import SPACED, U, Words, grams, mix, words
 
 #: Groups of token orders, and orders of a group. Two sets are candidates if they share the first token under all
@@ -24,8 +24,9 @@ GROUPS, ORDERS = 36, 3
 #: Of all 108 orders, so many must agree as well; a pair of similarity 0.75 has 81 on average, and fewer than 54
 #: with probability 1e-9.
 AGREE = 54
-#: Members of a bucket up to which all its pairs meet at once, and rows that are compared in one place.
-SMALL, BLOCK = 64, 1000
+#: Members of a bucket up to which all its pairs meet at once, and rows that are compared in one place: by their
+#: first tokens, and with their whole texts.
+SMALL, BLOCK, CROSSED = 64, 1000, 256
 
 
 @lru_cache(maxsize=1)
@@ -91,12 +92,9 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, schema)
 
 
-def _pairs(rows: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs within the groups ``key``, ``part`` that agree under AGREE orders at least.
-
-    With ``every`` those between different ``component``s and ``block``s or within one of ``block`` -1; else each row
-    with the best row before it, and all pairs of small groups.
-    """
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Candidate pairs within the groups ``key``, ``part`` that agree under AGREE orders at least: all of a small
+    bucket, and of a large one each row with the best row before it."""
     few = SMALL
 
     def compare(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,23 +124,16 @@ def _pairs(rows: DataFrame, every: bool) -> DataFrame:
             if not len(live):
                 break
             a, b = live, live + gap
-            if every:
-                c, d = rows["component"].to_numpy(), rows["block"].to_numpy()
-                apart = (c[a] != c[b]) & ((d[a] != d[b]) | (d[a] < 0))
-                a, b = a[apart], b[apart]
             same = np.concatenate([(sketch[a[i:i + 4096]] == sketch[b[i:i + 4096]]).sum(1) for i in range(0, len(a), 4096)] or [np.zeros(0, np.int64)])
             near = same >= AGREE
             a, b, same = a[near], b[near], same[near]
-            if not every:
-                better = same > best[b]
-                best[b[better]], partner[b[better]] = same[better], a[better]
-                a, b = a[small[a]], b[small[a]]
-            out.append((a, b))
-        if not every:
-            rest = np.flatnonzero((best > 0) & ~small)
-            out.append((partner[rest], rest))
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            better = same > best[b]
+            best[b[better]], partner[b[better]] = same[better], a[better]
+            out.append((a[small[a]], b[small[a]]))
+        rest = np.flatnonzero((best > 0) & ~small)
+        out.append((partner[rest], rest))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(a):
             ends = np.unique(np.sort(np.stack([node[a], node[b]], 1), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
@@ -182,6 +173,69 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -
     return full.select("a", "b", "a_text", "b_text", "a_digest", "b_digest").mapInArrow(verify, "a long, b long")
 
 
+def _crossed(unsettled: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of unsettled buckets.
+
+    Members of buckets that overlap form a cluster, which is dealt into blocks; each pair of blocks meets in one
+    task with its texts. Of pairs in different components that agree under AGREE orders the intersections come
+    from a product of the sets' membership matrices, a run of shingles at a time; only links leave the task.
+    """
+    clusters = components(unsettled.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / CROSSED).cast("int").alias("blocks"))
+    members = (clusters.join(sizes, "component").withColumnRenamed("component", "cluster")
+               .join(unsettled.select("node", "component").distinct(), "node").join(nodes.select("node", "doc", "digest", "sketch"), "node"))
+    texts = docs.select(F.xxhash64("doc").alias("hash"), F.col("doc").alias("_doc"), "text")
+    full = (members.withColumn("hash", F.xxhash64("doc")).join(texts, "hash").where(F.col("doc").eqNullSafe(F.col("_doc")))
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
+        F.least(other, F.col("own")).alias("i"), F.greatest(other, F.col("own")).alias("j")))
+    rows = full.select("cluster", "node", "component", "own", "digest", "sketch", "text", F.inline(meets))
+
+    def compare(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(got, ["cluster", "i", "j"]):
+            a, b = links(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def links(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, component, own = (group[c].to_numpy() for c in ("node", "component", "own"))
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        inside = group["i"][0].as_py() == group["j"][0].as_py()
+        left, right = [], []
+        for i in range(len(node) - 1):
+            near = (component[i + 1:] != component[i]) & (inside | (own[i + 1:] != own[i]))
+            at = np.flatnonzero(near) + i + 1
+            at = at[(sketch[at] == sketch[i]).sum(1) >= AGREE]
+            left.append(np.full(len(at), i))
+            right.append(at)
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+        if not len(a):
+            return a, b
+        used = np.unique(np.concatenate([a, b]))
+        texts, digests = group["text"].take(pa.array(used)).cast(pa.binary()).to_pylist(), group["digest"].take(pa.array(used)).to_pylist()
+        sets = [s for _, run in batches(pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["t"]), "t")
+                for s in shingle_sets(words(run, SPACED))]
+        # Another text of a repeated key is not the node's.
+        right_text = np.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, digests, strict=True)])
+        a, b = np.searchsorted(used, a), np.searchsorted(used, b)
+        sizes = np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        place = np.unique(tokens, return_inverse=True)[1]
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(place[-1]) + 1, 4096):
+            first, last = np.searchsorted(place, [start, start + 4096])
+            holds = np.zeros((len(sets), 4096), np.float32)
+            holds[owner[first:last], place[first:last] - start] = 1
+            shared += holds @ holds.T
+        both = shared[a, b].astype(np.int64)
+        linked = (100 * both >= percent * (sizes[a] + sizes[b] - both)) & right_text[a] & right_text[b]
+        return node[used[a[linked]]], node[used[b[linked]]]
+
+    grouped = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    return grouped.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Each document with the size of its set of five-word shingles and its component of similar documents.
 
@@ -190,8 +244,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     sets are one node. Nodes that share their first tokens under all orders of a group share a bucket; within it
     pairs must agree under half of all orders, and only then are the whole sets compared. A small
     bucket compares all its pairs, a large one each member with the best before it, in blocks, the
-    bucket's first member being in every block; then all pairs of large buckets that are not in one component
-    yet are compared as well, so no link between components is lost.
+    bucket's first member being in every block; then members of large buckets that are not in one component
+    yet are compared with their whole sets, block by block, so no link between components is lost.
 
     Documents without a word have no shingles and link with nothing. Repeated rows are documents that are
     equal; null keys take part, but the component is named by the smallest key that is not null.
@@ -212,22 +266,17 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     own = F.pmod(F.xxhash64("node"), n_parts).cast("int")
     spread = buckets.withColumn("part", F.explode(F.when((F.col("size") > BLOCK) & (F.col("node") == F.col("head")),
                                                          F.sequence(F.lit(0), n_parts - 1)).otherwise(F.array(own))))
-    pairs = stored(_pairs(spread, every=False), "pairs")
+    pairs = stored(_pairs(spread), "pairs")
     links = stored(_linked(pairs, nodes, wanted, percent), "links")
     labels = components(links)
 
-    # Pairs of large buckets between components: each pair of blocks meets in one place.
-    labelled = (buckets.where(F.col("size") > SMALL).join(labels, "node", "left")
-                .withColumn("component", F.coalesce("component", "node")))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-    block = labelled.join(mixed, "key", "left_semi").withColumns({"blocks": n_parts, "own": own})
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
-        (F.least(other, F.col("own")) * F.col("blocks") + F.greatest(other, F.col("own"))).cast("int").alias("part"),
-        F.when(other == F.col("own"), F.lit(-1)).otherwise(F.col("own")).alias("block")))
-    crossed = block.select("key", "node", "sketch", "size", "component", F.inline(meets))
-    late = stored(_pairs(crossed, every=True).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
-    if not late.isEmpty():
-        more = stored(_linked(late, nodes, wanted, percent), "late-links")
+    # Large buckets that hold several components: their members meet with their whole sets.
+    placed = (buckets.where(F.col("size") > SMALL).join(labels, "node", "left")
+              .select("key", "node", "head", F.coalesce("component", "node").alias("component")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
+    unsettled = stored(placed.join(mixed, "key", "left_semi"), "unsettled")
+    if not unsettled.isEmpty():
+        more = stored(_crossed(unsettled, nodes, wanted, percent), "late-links")
         if not more.isEmpty():
             labels = components(links.unionAll(more))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake.llm.components import components
-from postlake.llm.shared import stored
+from postlake.llm.shared import groups, stored
 from postlake.llm.words import U, mix
 
 #: Tables, lattice points that make up a cell, length of a unit vector's projection relative to the lattice, cells
@@ -169,17 +169,7 @@ def _counted(nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     rows = dealt.select("component", "node", "unit", "many", "own", F.inline(meets))
 
     def multiply(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in got:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held[c].to_numpy() for c in ("component", "i", "j")], 1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
-            for start, end in zip(edges, edges[1:], strict=False):
-                yield product_of(held.slice(start, end - start))
-            held = held.slice(edges[-1])
-        if held is not None and len(held):
-            yield product_of(held)
+        yield from map(product_of, groups(got, ["component", "i", "j"]))
 
     def product_of(group: pa.Table) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(group["unit"].to_pylist())).reshape(len(group), -1)

@@ -5,17 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.session import shared_folder
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from postlake.session import cut_lineage, shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,18 +29,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     What reads it neither repeats the work nor depends on an executor's disk.
     The table stays until ``discard``: a frame that reads it may be used late.
     """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, None)
-    if before is not None:  # nothing else will read this job's shuffles
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
-    again = spark.read.schema(df.schema).parquet(path)
-    again.stored_at = path
-    return again
+    return cut_lineage(df, name)
 
 
 def discard(df: DataFrame) -> None:
@@ -88,3 +76,18 @@ def batches(rows: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
             start, size = i + 1, 0
     if start < len(texts):
         yield start, texts[start:]
+
+
+def groups(got: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal integer keys, of batches in which these are adjacent, as one table each."""
+    held = None
+    for batch in got:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        values = np.stack([held[k].to_numpy() for k in keys], 1)
+        edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist()]
+        for start, end in zip(edges, edges[1:], strict=False):
+            yield held.slice(start, end - start)
+        held = held.slice(edges[-1])
+    if held is not None and len(held):
+        yield held

@@ -61,6 +61,7 @@ def test_equals_brute_force(spark, seed, small, block, monkeypatch):
     docs = spark.createDataFrame([(d, t, 1, b"x") for d, t in rows], "doc_id long, text string, key int, sketch binary").repartition(3)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CROSSED", block)
     got = sorted(((r.doc, r.n_shingles, r.component) for r in similar(docs).collect()), key=repr)
     assert got == _brute(rows)
     if block == 1000:
