@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.operators.ranking import first_n
 from postlake.operators.similar import similar_within, trigrams
 from postlake.schemas import KEY, TRUTH_FIELDS
 
@@ -80,10 +79,11 @@ def align_roles(pred: DataFrame, truth: DataFrame, threshold=0.3, key="raw_posti
     pairs = similar_within(rest("pred_index", "truth_index"), rest("truth_index", "pred_index"), threshold, "k")
     pairs = pairs.select(F.col("id_a.k").alias(key), F.col("id_a.i").alias("pred_index"),
                          F.col("id_b.i").alias("truth_index"), "similarity")
-    best = first_n(pairs, [key, "pred_index"], ["-similarity", "truth_index"], 1, "_p")
-    other = first_n(pairs, [key, "truth_index"], ["-similarity", "pred_index"], 1, "_t")
-    ids = [key, "pred_index", "truth_index"]
-    return equal.unionByName(best.join(other.select(*ids), ids, "left_semi").select(*ids, "similarity"))
+    # Both ranks come from one exchange: rows of a posting are together in it.
+    of_pred = Window.partitionBy(key, "pred_index").orderBy(F.desc("similarity"), "truth_index")
+    of_truth = Window.partitionBy(key, "truth_index").orderBy(F.desc("similarity"), "pred_index")
+    best = pairs.repartition(key).withColumns({"_p": F.row_number().over(of_pred), "_t": F.row_number().over(of_truth)})
+    return equal.unionByName(best.filter("_p = 1 AND _t = 1").drop("_p", "_t"))
 
 
 def skill_prf(pred: DataFrame, truth: DataFrame, key=tuple(KEY)) -> DataFrame:
