@@ -257,14 +257,17 @@ def run_stats(spark, sf):
 
 @query("grounding", """
 WITH q AS (
-  SELECT text, unnest([{'field': 'start', 'quote': substr(text, 1, 60)},
-                       {'field': 'language', 'quote': lang},
-                       {'field': 'source', 'quote': source}]) AS u FROM documents)
+  SELECT d.text, unnest([{'field': 'passage', 'quote': b.text}, {'field': 'language', 'quote': lang},
+                         {'field': 'source', 'quote': source}]) AS u
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT u.field AS field, count(*) AS quotes, count(*) FILTER (WHERE contains(text, u.quote)) AS found,
        count(*) FILTER (WHERE contains(text, u.quote)) / count(*) AS rate
 FROM q GROUP BY u.field""")
 def grounding(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("source_quotes", F.create_map(
-        F.lit("start"), F.substring("text", 1, 60), F.lit("language"), F.col("lang"),
-        F.lit("source"), F.col("source")))
+    """Every document quotes its language, its source and a passage of the benchmark, which a few hold."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
+    docs = (table(spark, sf, "documents").join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(items, "item_id")
+            .withColumn("source_quotes", F.create_map(
+                F.lit("passage"), F.col("passage"), F.lit("language"), F.col("lang"), F.lit("source"), F.col("source"))))
     return replies.grounding(docs)
