@@ -1,0 +1,34 @@
+"""Held-out accuracy, mixtures, and odd inputs."""
+
+from pyspark.sql import functions as F
+
+from postlake.llm.language import fit, with_language
+from postlake.llm.queries import op4_language
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = op4_language(spark, SF)
+    assert found.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    rows = found.join(docs, "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+    assert found.count() == docs.count() and found.where("score < 0 or score > 1 or score is null").count() == 0
+
+
+def test_mixtures_and_odd_inputs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit(docs, learn=F.col("doc") < 600)
+    long = {r.lang: r.text for r in docs.where("length(text) between 1500 and 4000 and doc_id >= 600").groupBy("lang").agg(F.max("text").alias("text")).collect()}
+    rows = [(1, long["de"] + "\n" + long["fr"], "x"), (2, long["es"], None), (3, None, None), (4, "", None), (5, "123 -- ½ 🙂", None),
+            (None, long["en"], "en"), (6, long["en"] * 100, None), (7, "ß", None), (2, long["es"], None)]
+    got = with_language(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string"), model).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and set(by[1].shares) == {"de", "fr"} and 0.2 < by[1].score < 0.8
+    assert (by[2].lang_pred, list(by[2].shares), by[2].score) == ("es", ["es"], 1.0)
+    assert [(by[i].lang_pred, by[i].score, by[i].shares) for i in (3, 4, 5)] == [("und", 0.0, {})] * 3
+    assert by[None].lang_pred == by[6].lang_pred == "en" and by[7].lang_pred in model.languages
+    nothing = fit(docs.limit(0))
+    assert {r.lang_pred for r in with_language(docs.limit(5).drop("lang_pred"), nothing).collect()} == {"und"}
+    assert with_language(docs.limit(0), model).count() == 0

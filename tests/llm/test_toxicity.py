@@ -1,0 +1,60 @@
+"""Held-out accuracy, the pairwise part against its definition, and odd inputs."""
+
+import itertools
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from postlake.llm.queries import op3_toxicity
+from postlake.llm.toxicity import Model, _fit, _raw, fit, with_score
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    scored = op3_toxicity(spark, SF)
+    assert scored.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = scored.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
+    right = sum(r.predicted == r.toxic for r in rows) / len(rows)
+    toxic = [r.score for r in rows if r.toxic]
+    clean = [r.score for r in rows if not r.toxic]
+    ranked = np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean])
+    assert right > 0.93 and ranked > 0.8  # a few dozen toxic documents to learn from
+    assert scored.where("score < 0 or score > 1 or score is null").count() == 0
+    assert scored.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_pairs_count_as_defined():
+    rng = np.random.default_rng(0)
+    weights, factors = rng.normal(size=6), rng.normal(size=(6, 3))
+    terms = [[0, 2, 5], [1], [], [0, 1, 2, 3, 4, 5]]
+    owner, term = (np.array(x) for x in zip(*[(i, t) for i, ts in enumerate(terms) for t in ts], strict=True))
+    raw = _raw(owner, term, len(terms), weights, factors, 0.5)[0]
+    for value, ts in zip(raw, terms, strict=True):
+        want = 0.5 + sum(weights[t] for t in ts) + sum(factors[a] @ factors[b] for a, b in itertools.combinations(ts, 2))
+        assert abs(value - want) < 1e-9
+
+
+def test_learns_an_interaction():
+    """Neither of two terms tells anything alone; both together do."""
+    rng = np.random.default_rng(1)
+    has = rng.random((2000, 2)) < 0.5
+    label = has.all(1).astype(int)
+    owner, term = np.nonzero(has)
+    model = _fit(Model.of(np.arange(2).astype(np.uint64), np.zeros(2), np.zeros((2, 4)), 0.0), owner, term, label, 4, 400, 0.0)
+    raw = _raw(np.array([0, 1, 2, 2]), np.array([0, 1, 0, 1]), 4, model.weights, model.factors, model.bias)[0]
+    assert (raw[[0, 1, 3]] < 0).all() and raw[2] > 0 and raw[2] > raw[0] + raw[1] - raw[3]
+
+
+def test_odd_inputs(spark):
+    docs = spark.createDataFrame([(1, "a vile word", 1.0), (2, None, 2.0), (None, "", 3.0), (1, "a vile word", 1.0), (3, "x" * 200_000, 1.0)],
+                                 "doc_id long, text string, score double")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = with_score(docs, fit(docs, none)).collect()
+    assert len(got) == 5 and all(0 <= r.score < 1e-6 for r in got)
+    one = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, toxic int")
+    assert all(r.score > 0.99 for r in with_score(docs, fit(docs, one)).collect())
+    assert with_score(docs.limit(0), fit(docs, none)).count() == 0
+    few = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0), (9, 0)], "doc_id long, toxic int")
+    model = fit(docs, few, learn=F.col("doc") > 0)
+    assert len(with_score(docs, model, name="toxicity").select("score", "toxicity").collect()) == 5
