@@ -43,10 +43,21 @@ def _by_source(**exprs) -> Column:
 def _bound(path) -> Column:
     # The number as written; a zero or an empty text is no bound.
     shown = F.get_json_object("raw_text", f"$.{path}")
-    absent = F.when(_kind(path) == "STRING", shown == "").otherwise(shown.try_cast("double") == 0)
+    absent = (F.when(_kind(path) == "STRING", shown == "").when(_kind(path) == "BOOLEAN", shown == "false")
+              .otherwise(shown.try_cast("double") == 0))
     return F.when(~F.coalesce(absent, F.lit(False)), shown)
 
 
+def _other_than(path, *kinds) -> Column:
+    """Whether a value is stated and of another kind; nothing, zero and false state nothing."""
+    kind, shown = _kind(path), F.get_json_object("raw_text", f"$.{path}")
+    fits = F.lit(False)
+    for k in kinds:
+        fits = fits | kind.startswith(k)
+    empty = shown.isin("", "false", "[]", "{}") | (shown.try_cast("double") == 0)
+    return F.coalesce(~fits & (kind != "VOID") & ~F.coalesce(empty, F.lit(False)), F.lit(False))
+
+
 def adapt_boards(df: DataFrame) -> DataFrame:
     """Add ``text``, the stated fields, ``held_out``, ``prefilter`` and ``adapter_error``.
 
@@ -61,7 +72,11 @@ def adapt_boards(df: DataFrame) -> DataFrame:
              .when(F.col("source") == "hn", F.lit(None))
              .when(F.col("_json").isNull(), "text is not JSON")
              .when(~F.schema_of_variant("_json").startswith("OBJECT"), "text is not a JSON object")
-             .when((F.col("source") == "habr") & unreadable, "salary is not a number"))
+             .when((F.col("source") == "habr") & _other_than("salary", "OBJECT"), "salary is not an object")
+             .when((F.col("source") == "habr") & unreadable, "salary is not a number")
+             .when((F.col("source") == "remotive") & _other_than("salary", "STRING"), "salary is not a text")
+             .when((F.col("source") == "habr") & _other_than("remoteWork", "BOOLEAN", "STRING"), "remote work is neither a truth value nor a text")
+             .when((F.col("source") == "web3") & _other_than("is_remote", "BOOLEAN", "STRING"), "remote work is neither a truth value nor a text"))
     df = once(df, {"adapter_error": error})
 
     flag = _by_source(habr=F.when(_kind("remoteWork") == "BOOLEAN", _get("remoteWork", "boolean")),

@@ -105,7 +105,10 @@ def test_adapt_boards(spark, tmp_path):
     raw = [("web3", "21", json.dumps(WEB3[2][0])), ("remotive", "11", json.dumps(REMOTIVE["jobs"][0])),
            ("hn", "1", "<p>" + "long text " * 20), ("hn", "2", "short"), ("hn", "3", " [DEAD] " + "x" * 200),
            ("web3", "b", "{bad"), ("web3", "l", "[1]"), ("adzuna", "c", "{}"),
-           ("habr", "s", json.dumps({**CARD, "salary": {"from": "много"}}))]
+           ("habr", "s", json.dumps({**CARD, "salary": {"from": "много"}})), ("habr", "so", json.dumps({**CARD, "salary": [7]})),
+           ("habr", "sn", json.dumps({**CARD, "salary": None, "remoteWork": False})), ("habr", "rw", json.dumps({**CARD, "remoteWork": {"a": 1}})),
+           ("remotive", "rs", json.dumps({**REMOTIVE["jobs"][0], "salary": 5000})), ("remotive", "rz", json.dumps({**REMOTIVE["jobs"][0], "salary": 0})),
+           ("web3", "wr", json.dumps({**WEB3[2][0], "is_remote": 2})), ("web3", "wb", json.dumps({**WEB3[2][0], "salary_min_value": False}))]
     df = spark.createDataFrame(raw, "source string, external_id string, raw_text string").unionByName(
         enriched.select("source", "external_id", "raw_text"))
     out = {r["external_id"]: r for r in adapt_boards(df).collect()}
@@ -127,6 +130,10 @@ def test_adapt_boards(spark, tmp_path):
     assert {k: out[k]["adapter_error"] for k in ("b", "l", "c", "s", "1")} == {
         "b": "text is not JSON", "l": "text is not a JSON object", "c": "unknown source: adzuna",
         "s": "salary is not a number", "1": None}
+    told = {k: out[k]["adapter_error"] for k in ("so", "sn", "rw", "rs", "rz", "wr", "wb")}
+    neither = "remote work is neither a truth value nor a text"
+    assert told == {"so": "salary is not an object", "sn": None, "rw": neither, "rs": "salary is not a text", "rz": None, "wr": neither, "wb": None}
+    assert out["wb"]["salary_raw"] is None and out["rz"]["salary_raw"] in (None, "0")
 
 
 def test_load_all(spark, tmp_path):
