@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from postlake.session import cut_lineage, shared_folder, ship
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    if spark.conf.get(_BATCH, None) is None:  # long texts fill a batch long before its rows do
+        spark.conf.set(_BATCH, "4MB")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,27 +49,7 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def repeated(rows: DataFrame, key: list[str], salt: str, first: list[str]) -> DataFrame:
-    """Rows whose key has other rows too, with ``_first``: no row of the key sorts before it.
-
-    A key may hold a third of all rows, so it is ranked in salted parts; only the first of each part
-    meets the firsts of the other parts, which are as many as there are parts at most.
-    """
-    from pyspark.sql import Window
-
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), salt), F.lit(parts(rows))).cast("int"))
-    part = Window.partitionBy(*key, "_salt")
-    ranked = salted.withColumns({"_rank": F.row_number().over(part.orderBy(*first))})
-    # The second row of a part tells that the part's first has company; it goes along as a witness.
-    later = ranked.where("_rank > 1").withColumn("_first", F.lit(False))
-    heads = ranked.where("_rank <= 2")
-    whole = Window.partitionBy(*key)
-    met = heads.withColumns({"_rank2": F.row_number().over(whole.orderBy(*first)), "_n": F.count("*").over(whole)})
-    firsts = met.where("_rank = 1 and _n > 1").withColumn("_first", F.col("_rank2") == 1)
-    return later.select(*rows.columns, "_first").unionByName(firsts.select(*rows.columns, "_first"))
-
-
-def batches(rows: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def batches(rows: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """UTF-8 texts of a batch in runs of about ``limit`` bytes, each with the place of its first row. Null is empty."""
     texts = rows.column(column).cast(pa.binary()).to_pylist()
     start = size = 0

@@ -28,7 +28,7 @@ _POWERS = [np.ones(1, U), np.ones(1, U)]
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for k, base in enumerate((BASE, _BACK)):
             steps = np.full(size, base, U)
             steps[0] = 1
