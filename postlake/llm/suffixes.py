@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postlake.llm.shared import batches
+from postlake.llm.shared import batches, discard, stored
 from postlake.llm.words import Words, grams, long_grams, window_least, window_minima, words
 
 #: Words by which a suffix is sorted first; it is kept where they are the least of all within a window.
@@ -69,8 +70,6 @@ def _stretches(rows: DataFrame, least_words: int) -> DataFrame:
                      part.column("id").take(take), pa.array(np.concatenate([s for _, s in found]).astype(np.int32))],
                     names=["run", "doc", "id", "start"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("run", T.LongType()), rows.schema["doc"], T.StructField("id", T.LongType()),
                            T.StructField("start", T.IntegerType())])
     return rows.mapInArrow(extend, schema)
@@ -109,15 +108,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     shared = suffixes.groupBy("key").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("key")
     wanted = (suffixes.join(shared, "key", "left_semi").groupBy("digest").agg(F.collect_set("at").alias("suffixes")))
     heads = based.where("text is not null").groupBy("digest").agg(F.min(F.struct("doc", "id")).alias("first")).select("digest", F.col("first.id").alias("id"))
-    marked = wanted.join(heads, "digest").select("id", "suffixes")
+    marked = stored(wanted.join(heads, "digest").select("id", "suffixes"), "suffixes")
 
     stretches = _stretches(based.join(marked, "id"), least_words)
     place = F.struct("doc", "id", "start")
     first = stretches.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
     later = stretches.join(first, "run").where(F.struct("doc", "id", "start") != F.col("first"))
     cuts = later.groupBy("id").agg(F.collect_set("start").alias("starts"))
-    decisions = cuts.select("id", "starts").unionByName(
-        copies.select("id", F.array(F.lit(-1)).alias("starts"))).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    decisions = stored(cuts.select("id", "starts").unionByName(copies.select("id", F.array(F.lit(-1)).alias("starts")))
+                       .groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "cuts")
+    discard(marked)
 
     @F.arrow_udf("struct<_text: string, _words: long, _cut: long>")
     def without(texts: pa.Array, starts: pa.Array) -> pa.Array:
