@@ -53,7 +53,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 1024 ids at most, as pieces of documents."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).withColumnRenamed("doc", "doc_id")
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=added).withColumnRenamed("doc", "doc_id")
 
 
 def _columns(docs: DataFrame) -> list:

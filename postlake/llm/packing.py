@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,25 @@ def encoder(ranks: str):
     return tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The tokens that the JSON of a vocabulary adds to its merges, with their ids."""
+    with open(vocabulary, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that depend on what stands beside them are not supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def encode(text: str, ranks: str, added: dict[str, int] | None = None) -> np.ndarray:
+    """The ids of a text. A token of ``added`` has its id wherever it stands; what lies between is encoded by itself."""
+    ids = encoder(ranks).encode_to_numpy
+    if not any(token in text for token in added or ()):
+        return ids(text, disallowed_special=())
+    wanted = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
+    return np.concatenate([np.array([added[part]], np.uint32) if at % 2 else ids(part, disallowed_special=())
+                           for at, part in enumerate(re.split(f"({wanted})", text))])
+
+
 class Packer:
     """``open_windows`` windows of ``size`` tokens; a piece goes where it leaves the least room.
 
@@ -91,12 +112,12 @@ def _rows(windows: list, first: int) -> dict[str, list]:
 
 
 def pack(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", size: int = 1024,
-         open_windows: int = 16, end_id: int = 0, merge: int = 4) -> DataFrame:
+         open_windows: int = 16, end_id: int = 0, merge: int = 4, added: dict[str, int] | None = None) -> DataFrame:
     """Token sequences of at most ``size`` ids that hold every id of every document exactly once.
 
     Each partition of the input is packed where it is read; what stays open of ``merge`` neighbouring
     partitions is packed together at the end, so there is padding in one sequence of each such group at
-    most. Texts are encoded whole and end with ``end_id``; a null or empty text has that id alone, and
+    most. Texts are encoded whole, tokens of ``added`` by their ids, and end with ``end_id``; a null or empty text has that id alone, and
     repeated rows are packed one by one. Rows with a null key are packed as well. Columns of ``docs``
     other than ``key`` and ``text`` are not read. No row gives no row.
 
@@ -111,7 +132,7 @@ def pack(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", s
 
     def pack_partition(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, packer, number = encoder(ranks).encode_to_numpy, Packer(size, open_windows), part << 40
+        packer, number = Packer(size, open_windows), part << 40
         shape = None
 
         def batch(windows, bin_id):
@@ -127,7 +148,7 @@ def pack(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", s
         for got in rows:
             shape = got.column("doc").type
             for doc, words in zip(got.column("doc").to_pylist(), got.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(words or "", disallowed_special=()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(words or "", ranks, added), np.uint32(end_id)).astype("<u4")
                 packer.put(doc, 0, ids, len(ids))
                 if len(packer.sent) >= 2000:
                     yield batch(packer.sent, None)

@@ -13,7 +13,8 @@ from postlake.llm.shared import table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     return packed.select(
         F.col("doc").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

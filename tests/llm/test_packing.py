@@ -5,7 +5,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from postlake.llm.packing import Packer, pack
+import corpus_pipeline
+from postlake.llm.packing import Packer, added_tokens, encode, pack
+from postlake.llm.queries import op1_packing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TEXTS = ["", None, "a", "it's  two\n\n spaces \t and <|endoftext|> ends ", "über straße 12345 ½ ²x 日本語 🙂🙂",
@@ -56,3 +58,18 @@ def test_windows_are_full_or_open(sizes):
         packer.put(i, 0, np.arange(n, dtype="<u4"), n)
     assert all(sum(len(p[2]) for p in w) == 8 for w in packer.sent)
     assert len(packer.rest()) <= 2
+
+
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    """Without ``encode_special_tokens``: the literal of an added token is that token, in the query and the pipeline."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    known, added = Tokenizer.from_file(vocabulary), added_tokens(vocabulary)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y <|endoftext", *(t or "" for t in TEXTS)]
+    want = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    assert [encode(t, RANKS, added).tolist() for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {i: len(ids) + 1 for i, ids in enumerate(want)}
+    assert {r.doc_id: r.doc_tokens for r in op1_packing(spark, str(tmp_path)).collect()} == sizes
+    assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == sizes
