@@ -19,6 +19,10 @@ from postlake.llm.shared import stored
 
 #: The split into words that belongs to the vocabulary; a fixed value.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: A long run of white space before a word, from its beginning; the engine of the pattern fails at a million.
+SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 100_000
+_RUN = re.compile(rf"(?<!{SPACES}){SPACES}{{{LONG_RUN},}}+(?!\Z)")
 MERGED = 1 << 62
 
 
@@ -44,14 +48,23 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
 
 def encode(text: str, ranks: str, added: dict[str, int] | None = None) -> np.ndarray:
     """The ids of a text. A token of ``added`` has its id wherever it stands; what lies between is encoded by itself."""
-    ids = encoder(ranks).encode_to_numpy
     if not any(token in text for token in added or ()):
-        return ids(text, disallowed_special=())
+        return _plain(text, ranks)
     wanted = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
-    return np.concatenate([np.array([added[part]], np.uint32) if at % 2 else ids(part, disallowed_special=())
+    return np.concatenate([np.array([added[part]], np.uint32) if at % 2 else _plain(part, ranks)
                            for at, part in enumerate(re.split(f"({wanted})", text))])
 
 
+def _plain(text: str, ranks: str) -> np.ndarray:
+    """Ids of a text without added tokens. Long runs of white space are cut out where the pattern cuts as well: at their
+    beginning and before their last character."""
+    ids = encoder(ranks).encode_to_numpy
+    if len(text) <= LONG_RUN:
+        return ids(text, disallowed_special=())
+    edges = [0, *(at for run in _RUN.finditer(text) for at in (run.start(), run.end() - 1)), len(text)]
+    return np.concatenate([ids(text[a:b], disallowed_special=()) for a, b in zip(edges, edges[1:], strict=False)])
+
+
 class Packer:
     """``open_windows`` windows of ``size`` tokens; a piece goes where it leaves the least room.
 

@@ -73,3 +73,12 @@ def test_added_tokens_have_their_ids(spark, tmp_path):
     sizes = {i: len(ids) + 1 for i, ids in enumerate(want)}
     assert {r.doc_id: r.doc_tokens for r in op1_packing(spark, str(tmp_path)).collect()} == sizes
     assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == sizes
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "word", "a b" + "\n" * 2_000_000 + "word", "x" + " \u3000\t\x85" * 300_000 + " y's  z",
+                                  "a" + " " * 1_200_000 + "<|endoftext|>" + "\n" * 1_200_000 + " .\x1c" + " " * 1_200_000,
+                                  ("b" + " " * 100_000) * 3 + "\x1c", " " * 99_999 + "c", " " * 100_001 + "'s"])
+def test_long_runs_of_white_space(text):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).ids
+    assert np.array_equal(encode(text, RANKS, added_tokens(vocabulary)), want)
