@@ -186,13 +186,12 @@ def _removable(node: _Node) -> bool:
     return not (node.holds or node.tag in MAIN or node.tag in ("html", "body") or (node.main and node.tag in PROSE))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = 5,
-            min_share: float = 0.01) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = 5) -> DataFrame:
     """Main text of each page.
 
     Every page is cut into its element subtrees, whose hashes (tags and text) Spark counts per host. A subtree that
-    recurs on ``min_pages`` pages of a host at least, and on ``min_share`` of the host's pages, is part of its template
-    and goes, unless it holds the page's declared article or is running text in it. Navigation, headers,
+    recurs on ``min_pages`` pages of a host at least, however many pages the host has, is part of its template
+    and goes (pages with the same HTML count once), unless it holds the page's declared article or is running text in it. Navigation, headers,
     footers, forms, adverts, comments and the like go by their tags, roles and names; where a page
     declares an article or a main part, what lies outside goes too. Pages of which no block that is left lies in a
     removable subtree are done; the blocks of the others meet the recurring subtrees in a join, by host
@@ -205,8 +204,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     block = T.StructType([T.StructField("text", T.StringType()), T.StructField("around", T.ArrayType(T.LongType()))])
     schema = T.StructType([
         wanted.schema["page"], wanted.schema["url"], T.StructField("row", T.LongType()), T.StructField("host", T.StringType()),
-        T.StructField("trees", T.ArrayType(T.LongType())), T.StructField("text", T.StringType()),
-        T.StructField("blocks", T.ArrayType(block))])
+        T.StructField("digest", T.LongType()), T.StructField("trees", T.ArrayType(T.LongType())),
+        T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(block))])
     shape = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
 
     def cut(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +213,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         for rows in got:
             for start in range(0, len(rows), 500):
                 part = rows.slice(start, 500)
-                found = [blocks(p) for p in part.column("html").to_pylist()]
+                htmls = part.column("html").to_pylist()
+                found = [blocks(p) for p in htmls]
                 left = [any(around for _, around in kept) for kept, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page"), part.column("url"), pa.array(range(row, row + len(found)), pa.int64()),
                      pa.array([_host(u) for u in part.column("url").to_pylist()]),
+                     pa.array([xxhash.xxh64_intdigest(p or "") - (1 << 63) for p in htmls], pa.int64()),
                      pa.array([trees for _, trees in found], pa.list_(pa.int64())),
                      pa.array([None if more else " ".join(t for t, _ in kept) for (kept, _), more in zip(found, left, strict=True)], pa.string()),
                      pa.array([[{"text": t, "around": a} for t, a in kept] if more else None
@@ -226,10 +227,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 row += len(found)
 
     parsed = stored(wanted.mapInArrow(cut, schema), "pages")
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = (parsed.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
-                 .where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share)
-                 .select("host", "tree"))
+    recurring = (parsed.select("host", "digest", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count_distinct("digest").alias("n"))
+                 .where(F.col("n") >= min_pages).select("host", "tree"))
     open_pages = parsed.where("blocks is not null")
     inside = open_pages.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("tree"))
     gone = inside.join(recurring, ["host", "tree"], "left_semi").groupBy("row").agg(F.collect_set("tree").alias("gone"))

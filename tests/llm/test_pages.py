@@ -42,3 +42,18 @@ def test_recurring_subtrees_go(spark):
     assert got[3] == "story 3" and got[102] == "Same words text 2" and got[200] == "Best of the site" and got[None] == ""
     assert extract(pages).count() == len(rows)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_a_block_of_one_section_goes_on_hosts_of_every_size(spark):
+    """A notice on five pages goes, be there six pages on the host or six hundred; one on four stays on both."""
+    rows = [(host, i, f"http://{host}/x", f"<div><div><p>Notice of {'five' if i < 5 else 'four' if i < 9 else i}</p></div><p>story {i}</p></div>")
+            for host, n in (("small.org", 10), ("big.org", 600)) for i in range(n)]
+    got = {(r.url, r.page): r.text for r in extract(spark.createDataFrame(rows, "host string, page_id long, url string, html string")).collect()}
+    for host in ("small.org", "big.org"):
+        assert [got[f"http://{host}/x", i] for i in (4, 8)] == ["story 4", "Notice of four story 8"]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://a.org/{i}", "<div><p>one text</p></div>" if i < 20 else f"<p>{i}</p>") for i in range(30)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page < 20").collect()
+    assert [r.text for r in got] == ["one text"] * 20
