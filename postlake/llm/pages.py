@@ -42,13 +42,44 @@ PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]{0,5000}"|'[^']{0,5000}')*+|[^>]*)>""", re.S)
-_NAMED = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>"']|\Z)""", re.I)
+_OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+_TAG, _OTHER = re.compile(rf"{_OTHER}|<(/?)([A-Za-z][^\s/>]*)", re.S), re.compile(rf"{_OTHER}|(?!)()()", re.S)
+#: Attributes up to the end of the tag, a quoted value (its quote is the group) or the end of the page.
+_ATTRIBUTES = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:(?!\s*+=)|\s*+=\s*+(?:[^\s>"'][^\s>]*+|(?=>|\Z))))*+"""
+                         r"""(?:>|[^\s/>][^\s/>=]*+\s*+=\s*+(["'])|\Z)""")
+#: Attributes that count; other quoted values are passed over, whatever they hold.
+_NAMED = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>"']|\Z)"""
+                    r"""|=\s*+(?:"[^"]*+"|'[^']*+')""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class _Ends:
+    """Where the tags of a page end. Quoted values are read whole, however long. A tag that does not end outside of them
+    ends at its first '>'; the quotes such a tag has met are remembered, so that no place is read again for each tag."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.lost = page, {c: page.rfind(c) for c in ">\"'"}, set()
+
+    def after(self, place: int) -> int:
+        """The place behind the tag whose name ends at ``place``, 0 if there is none."""
+        if place > self.last[">"]:
+            return 0
+        met, at = [], place
+        while at <= self.last[">"]:
+            stop = _ATTRIBUTES.match(self.page, at)
+            quote, at = stop[1], stop.end()
+            if quote is None:
+                if self.page[at - 1] == ">":
+                    return at
+                break
+            if at > self.last[quote] or at in self.lost:
+                break
+            met.append(at)
+            at = self.page.index(quote, at) + 1
+        self.lost.update(met)
+        return self.page.index(">", place) + 1
+
+
 class _Node:
     __slots__ = ("tag", "up", "drop", "holds", "body", "hash", "text", "main")
 
@@ -90,6 +121,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     root = _Node("", None, 0)
     stack, out, open_text = [root], [], []
     tags, place = [], 0
+    ends, pattern = _Ends(page), _TAG
 
     def flush():
         text = " ".join("".join(open_text).split())
@@ -123,18 +155,23 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         return 0
 
     while True:
-        tag = _TAG.search(page, place)
+        tag = pattern.search(page, place)
+        if tag and tag[2] is not None and not (behind := ends.after(tag.end())):
+            # No '>' follows.
+            pattern = _OTHER
+            tag = pattern.search(page, place)
         text = page[place:tag.start() if tag else len(page)]
         if text:
             open_text.append(html.unescape(text) if "&" in text else text)
         if not tag:
             break
-        place = tag.end()
-        end, name, attributes = tag.groups()
+        end, name = tag.groups()
         if name is None:
+            place = tag.end()
             if tag[0].startswith("<![CDATA["):
                 open_text.append(tag[0][9:].removesuffix("]]>"))
             continue
+        attributes, place = page[tag.end():behind - 1], behind
         name = name.lower()
         if end:
             if name in INLINE and not any(n.tag == name for n in stack):

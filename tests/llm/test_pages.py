@@ -1,5 +1,7 @@
 """Main text by markup rules on single pages, and template removal across pages of a host."""
 
+import time
+
 import pytest
 
 from postlake.llm.pages import blocks, extract
@@ -57,3 +59,23 @@ def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, f"http://a.org/{i}", "<div><p>one text</p></div>" if i < 20 else f"<p>{i}</p>") for i in range(30)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page < 20").collect()
     assert [r.text for r in got] == ["one text"] * 20
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p data-x=\"" + "a" * 6_000 + "<b>LEAK</b> more\">text</p>", "text"), ("<p data-x='" + "a>" * 500_000 + "'>text</p>", "text"),
+    ("<div data-x='{" + " " * 6_000 + "\"hidden\": true, class=\"ad\" <nav>}' id=content>text</div>", "text"),
+    ("<p title=it's>one</p><p>isn't</p>", "one isn't"), ("<p title=\"open>one</p><p>two</p>", "one two"),
+    ("<p a = 'x>y' b=\"'>\" c=d/>t</p>", "t"), ("<p a=>t</p>", "t"), ("x <a <b<!-- c", "x <a <b"), ("<p a=\"b", "<p a=\"b"),
+])
+def test_attributes_of_any_length(page, want):
+    assert _text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a b=\"", "<a b='c\" d=\"'", "<a b=\">\"", "<a b=\">'", "<a ", "<a<", "<a b='\"' c=\"", "<a b= \"'\">"])
+def test_unclosed_quotes_cost_little(page):
+    times = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        blocks(page * n)
+        times.append(time.process_time() - start)
+    assert times[1] < 30 * times[0] + 1
