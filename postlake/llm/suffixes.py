@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by sparse suffix arrays."""
+"""Passages that repeat across documents, by hashed groups that stand in for a sorted sparse suffix array."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from postlake.llm.shared import batches, discard, stored
 from postlake.llm.words import Words, grams, long_grams, window_least, window_minima, words
 
-#: Words by which a suffix is sorted first; it is kept where they are the least of all within a window.
+#: Words by which suffixes are grouped first; one is kept where they are the least of all within a window.
 GRAM = 10
 
 
