@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import jaccard, language, lattice, packing, pages, suffixes, toxicity, warc, winnowing, wordpiece
+from postlake.llm import jaccard, language, lattice, packing, pages, suffixes, toxicity, urls, warc, winnowing, wordpiece
 from postlake.llm.shared import table
 
 
@@ -78,6 +78,25 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+#: The host, the path and the verdict of each rule.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL_URLS = """
+with split as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, row_number() over () as id from pages),
+     rules(host, path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+     fits as (select id, r.host || r.path as rule, verdict, row_number() over (partition by id order by length(r.host || r.path) desc, length(r.host) desc) as place
+              from split s join rules r on (s.host = r.host or ends_with(s.host, '.' || r.host)) and starts_with(s.path, r.path))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from split left join fits on split.id = fits.id and place = 1
+"""
+
 SQL_WARC = """
 with rows as (select page_id, coalesce(html, '') as payload from pages),
      keepers as (select payload, max(page_id) as keeper from rows where strlen(payload) >= 1000 group by payload)
@@ -99,5 +118,5 @@ def _held_out(key: str, parts: int, rest: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op5_suffixes, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard)}
-SQL: dict[str, str] = {"op8_warc": SQL_WARC}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op5_suffixes, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard, op13_urls)}
+SQL: dict[str, str] = {"op8_warc": SQL_WARC, "op13_urls": SQL_URLS}
