@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import jaccard, language, lattice, packing, pages, suffixes, toxicity, urls, warc, winnowing, wordpiece
+from postlake.llm import jaccard, language, lattice, negatives, packing, pages, suffixes, toxicity, urls, warc, winnowing, wordpiece
 from postlake.llm.shared import table
 
 
@@ -78,6 +78,28 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = (F.col("label").cast("decimal(20,0)") + 1) % 10
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")).cast("long"))
+    found = negatives.mine(rows, F.col("vec_id") % 50 == 0)
+    return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"),
+                        "positive_score", "negative_score")
+
+
+SQL_NEGATIVES = """
+with rows as (select row_number() over () as id, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                     list_transform(embedding, lambda x: floor(256 * x::double)) as ints
+              from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     scored as (select a.id, a.vec_id as anchor_id, r.id as other, r.vec_id, r.label = a.label as same, list_inner_product(a.ints, r.ints)::bigint as score
+                from rows a join rows r on a.id <> r.id and len(a.ints) = len(r.ints) where a.vec_id % 50 = 0),
+     near as (select *, row_number() over (partition by id order by score desc, vec_id nulls last, other) as place from scored where same),
+     hard as (select n.id, n.anchor_id, n.vec_id as positive_id, n.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+                     row_number() over (partition by n.id, n.place order by s.score desc, s.vec_id nulls last, s.other) as rank
+              from near n join scored s on n.id = s.id and not s.same and 50 * n.score <= 100 * s.score and 100 * s.score <= 95 * n.score where n.place <= 5)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from hard where rank <= 3
+"""
+
 #: The host, the path and the verdict of each rule.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -118,5 +140,5 @@ def _held_out(key: str, parts: int, rest: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op5_suffixes, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard, op13_urls)}
-SQL: dict[str, str] = {"op8_warc": SQL_WARC, "op13_urls": SQL_URLS}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op5_suffixes, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard, op12_negatives, op13_urls)}
+SQL: dict[str, str] = {"op8_warc": SQL_WARC, "op12_negatives": SQL_NEGATIVES, "op13_urls": SQL_URLS}
