@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import jaccard, language, lattice, negatives, packing, pages, suffixes, toxicity, urls, warc, winnowing, wordpiece
+from postlake.llm import conversations, jaccard, language, lattice, negatives, packing, pages, suffixes, toxicity, urls, warc, winnowing, wordpiece
 from postlake.llm.shared import table
 
 
@@ -78,6 +78,16 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    hurt = conversations.damaged(rows, F.crc32(name.cast("binary")) % 20)
+    found = conversations.summaries(conversations.repair(hurt)).withColumnRenamed("sha256", "repaired_sha256")
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = (F.col("label").cast("decimal(20,0)") + 1) % 10
@@ -140,5 +150,5 @@ def _held_out(key: str, parts: int, rest: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op5_suffixes, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard, op12_negatives, op13_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_main_text, op3_toxicity, op4_language, op5_suffixes, op6_winnowing, op7_wordpiece, op8_warc, op9_lattice, op10_jaccard, op11_conversations, op12_negatives, op13_urls)}
 SQL: dict[str, str] = {"op8_warc": SQL_WARC, "op12_negatives": SQL_NEGATIVES, "op13_urls": SQL_URLS}
