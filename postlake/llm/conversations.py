@@ -63,7 +63,7 @@ class Survivors:
     """
 
     def __init__(self):
-        self.parent, self.counts, self.kids, self.edit = array("q", [-1]), array("q", [0]), array("q", [0]), array("h", [0])
+        self.parent, self.counts, self.kids, self.edit = array("q", [-1]), array("q", [1]), array("q", [0]), array("h", [0])
         self.free, self.root, self.rows = [], 0, deque()
         self.ends = {EMPTY: (0, 0, 0)}  # state: cost, place in the order, node
 
@@ -102,10 +102,9 @@ class Survivors:
         order = sorted(cheap, key=lambda s: cheap[s][1:3])
         # Costs count from the least: deleting further copies costs every end the same.
         self.ends = {s: (cheap[s][0] - least, place, self._node(cheap[s][3], cheap[s][4])) for place, s in enumerate(order)}
-        for state, (_, _, node) in ends.items():
-            if node != self.root:
-                self.counts[node] -= 1
-                self._drop(node)
+        for _, _, node in ends.values():
+            self.counts[node] -= 1
+            self._drop(node)
         self.rows.append((row, copies))
         while self.counts[self.root] == 1 and self.kids[self.root]:
             child = self.kids[self.root] - 1
