@@ -35,7 +35,7 @@ def epoch_instant(c) -> Column:
 
 def utc_month(c) -> Column:
     """First day of the UTC month of an instant."""
-    days = F.floor(F.unix_micros(_col(c)) / F.lit(86_400_000_000)).cast("int")
+    days = F.floor(F.unix_micros(_col(c).cast("timestamp")) / F.lit(86_400_000_000)).cast("int")
     return F.trunc(F.date_add(F.lit("1970-01-01").cast("date"), days), "MM")
 
 

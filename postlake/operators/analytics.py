@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake import vocab
-from postlake.functions.times import cutoff
+from postlake.functions.times import cutoff, utc_month
 from postlake.operators.ranking import first_n
 from postlake.operators.steps import once
+from postlake.operators.totals import run_totals
 
 
 def coverage(runs: DataFrame) -> DataFrame:
@@ -16,11 +17,7 @@ def coverage(runs: DataFrame) -> DataFrame:
 
 def run_stats(outcomes: DataFrame) -> DataFrame:
     """One row of totals over a set of outcomes."""
-    status = [F.count_if(F.col("status") == s).alias(s) for s in vocab.RUN_STATUSES]
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a) for c, a in (
-        ("role_count", "roles"), ("tokens_in", "tokens_in"), ("tokens_out", "tokens_out"),
-        ("requests", "requests"))]
-    return outcomes.agg(*status, *sums)
+    return outcomes.agg(*[c.alias(n) for n, c in run_totals().items()])
 
 
 def corpus_profile(df: DataFrame, salary="salary_raw") -> DataFrame:
@@ -99,7 +96,7 @@ def salary_distribution_approx(roles: DataFrame, by=(), amount="salary_min",
 def month_counts(roles: DataFrame, raw: DataFrame, posting="raw_posting_id") -> DataFrame:
     """Postings per month of publishing and skill. ``raw`` gives ``posted_at`` by posting."""
     dated = roles.select(posting, "stack").join(
-        raw.select(posting, F.trunc("posted_at", "MM").alias("month")), posting)
+        raw.select(posting, utc_month("posted_at").alias("month")), posting)
     return skill_frequency(dated, ["month"], posting)
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from postlake.schemas import KEY
 
+PENDING_ORDER = ("ingested_at", "source", "external_id")
+
 
 def posting_id(source="source", external_id="external_id") -> Column:
     """One-column id of a posting, the same on every run."""
@@ -17,8 +19,8 @@ def new_only(cards: DataFrame, known: DataFrame, key=tuple(KEY)) -> DataFrame:
 
 
 def pending(raw: DataFrame, runs: DataFrame, sources=None, limit=None, key="raw_posting_id",
-            order=("ingested_at", "source", "external_id"), retry_statuses=()) -> DataFrame:
-    """Postings without a run, oldest first. Empty ``sources`` means all, limit 0 none.
+            order=PENDING_ORDER, retry_statuses=()) -> DataFrame:
+    """Postings without a run; with a ``limit`` the first ones in ``order``, oldest first. Empty ``sources`` means all, limit 0 none.
 
     ``retry_statuses`` lets runs that ended that way be tried again.
     """
@@ -27,7 +29,7 @@ def pending(raw: DataFrame, runs: DataFrame, sources=None, limit=None, key="raw_
     if retry_statuses:
         runs = runs.filter(~F.col("status").isin(list(retry_statuses)))
     work = raw.join(runs.select(key), key, "left_anti")
-    return work.orderBy(*order).limit(limit) if limit else work.orderBy(*order)
+    return work.orderBy(*order).limit(limit) if limit else work
 
 
 def cascade(children: DataFrame, kept: DataFrame, on) -> DataFrame:

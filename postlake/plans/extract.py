@@ -1,15 +1,23 @@
 """Queries over replies, roles and runs."""
 
+import uuid
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from postlake.operators import analytics, extraction, quality, replies, roles
 from postlake.operators.adapt import adapt_boards
+from postlake.operators.scorer import score
+from postlake.operators.totals import RunningTotals, Totals, run_totals
 from postlake.plans.cleaning import board_rows
 from postlake.plans.registry import query
 from postlake.plans.standins import (
-    AS_OF, POSTINGS_SQL, REPLIES_SQL, ROLES_SQL, VOCABULARIES, plain, postings, role_rows, table,
+    AS_OF, POSTINGS_SQL, REPLIES_SQL, ROLES_SQL, VOCABULARIES, plain, postings, role_rows, stand_in_model, table,
 )
 from postlake.plans.standins import replies as stand_in_replies
+from postlake.schemas import ROLES, RUNS
+from postlake.session import cut_lineage, shared_folder
+from postlake.streaming import jobs
 
 REP = f"WITH {REPLIES_SQL}"
 VX = f"WITH {ROLES_SQL}"
@@ -255,6 +263,62 @@ def run_stats(spark, sf):
     return analytics.run_stats(runs)
 
 
+@query("scored_replies", f"""
+WITH {POSTINGS_SQL}
+SELECT id AS raw_posting_id, 'stand-in' AS model, CASE WHEN n % 11 = 0 THEN 'ValueError: cannot read this' END AS error,
+       CASE WHEN n % 11 <> 0 AND n % 5 = 0 THEN 'reply is not a JSON object' ELSE '' END AS reasons,
+       CASE WHEN n % 11 <> 0 AND n % 5 <> 0 THEN CASE WHEN n % 3 = 0 THEN 'other' ELSE 'posting' END END AS doc_type,
+       CASE WHEN n % 11 <> 0 AND n % 5 <> 0 AND n % 3 <> 0 THEN 'Company ' || n END AS company,
+       CASE WHEN n % 11 <> 0 THEN n ELSE 0 END AS tokens_in, CASE WHEN n % 11 <> 0 THEN n % 13 ELSE 0 END AS tokens_out
+FROM (SELECT id, length(coalesce(raw_text, '')) AS n FROM rp)""")
+def scored_replies(spark, sf):
+    """Every posting put to a model, whose calls some of the texts break, and what it says checked."""
+    asked = postings(spark, sf).withColumnRenamed("id", "raw_posting_id")
+    scored = cut_lineage(score(asked, partial(stand_in_model, raises=True), "stand-in", text="raw_text", batch_bytes=1 << 16))
+    return replies.validate_replies(scored).select(
+        "raw_posting_id", "model", "error", F.array_join("reasons", "; ").alias("reasons"), "doc_type", "company", "tokens_in", "tokens_out")
+
+
+_TOTALS = f"""{_ATTEMPTS},
+told AS (SELECT *, length('posting ' || raw_posting_id) AS n, adapter_error IS NULL AND NOT skipped AS asked FROM att)
+SELECT count(*) FILTER (WHERE adapter_error IS NULL AND (skipped OR n % 11 <> 0 AND n % 5 <> 0)) AS ok,
+       count(*) FILTER (WHERE asked AND n % 11 <> 0 AND n % 5 = 0) AS invalid,
+       count(*) FILTER (WHERE adapter_error IS NOT NULL OR asked AND n % 11 = 0) AS error,
+       count(*) FILTER (WHERE asked AND n % 11 <> 0 AND n % 5 <> 0 AND n % 3 <> 0) AS roles,
+       CAST(coalesce(sum(n) FILTER (WHERE asked AND n % 11 <> 0), 0) AS BIGINT) AS tokens_in,
+       CAST(coalesce(sum(n % 13) FILTER (WHERE asked AND n % 11 <> 0), 0) AS BIGINT) AS tokens_out,
+       CAST(coalesce(sum(CASE WHEN n % 11 = 0 THEN 3 ELSE 1 END) FILTER (WHERE asked), 0) AS BIGINT) AS requests
+FROM told"""
+_TOTALS_SCHEMA = "ok long, invalid long, error long, roles long, tokens_in long, tokens_out long, requests long"
+
+
+def _ask(adapted):
+    named = adapted.withColumn("text", F.concat(F.lit("posting "), "raw_posting_id"))
+    return cut_lineage(score(named, stand_in_model, "stand-in"))
+
+
+@query("observed_totals", _TOTALS)
+def observed_totals(spark, sf):
+    """Totals of a run in which a model is asked, gathered by the write of its outcomes."""
+    raw = board_rows(spark, sf).withColumnRenamed("id", "raw_posting_id")
+    old = spark.createDataFrame([], RUNS)
+    totals = Totals(run_totals())
+    extraction.process(raw, old, spark.createDataFrame([], ROLES), _ask, AS_OF, totals=totals, order=["raw_posting_id"])
+    return spark.createDataFrame([totals.get()], _TOTALS_SCHEMA)
+
+
+@query("running_totals", _TOTALS)
+def running_totals(spark, sf):
+    """The same of a stream in several batches, summed up while it runs."""
+    folder = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
+    raw = board_rows(spark, sf).withColumnRenamed("id", "raw_posting_id").select("raw_posting_id", "source", "external_id", "raw_text")
+    raw.repartition(3).write.parquet(f"{folder}/postings")
+    told = RunningTotals("run")
+    stream = jobs.read_rows(spark, f"{folder}/postings", raw.schema, 1)
+    jobs.stream_outcomes(stream, _ask, folder, f"{folder}/state", told).awaitTermination()
+    return spark.createDataFrame([told.sums], _TOTALS_SCHEMA)
+
+
 @query("grounding", """
 WITH q AS (
   SELECT d.text, unnest([{'field': 'passage', 'quote': b.text}, {'field': 'language', 'quote': lang},
@@ -266,8 +330,8 @@ FROM q GROUP BY u.field""")
 def grounding(spark, sf):
     """Every document quotes its language, its source and a passage of the benchmark, which a few hold."""
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    n = table(spark, sf, "benchmark").agg(F.count("*").alias("n"))
-    docs = (table(spark, sf, "documents").join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(items, "item_id")
+    n = table(spark, sf, "benchmark").agg(F.count("*")).scalar()
+    docs = (table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % n).join(items, "item_id")
             .withColumn("source_quotes", F.create_map(
                 F.lit("passage"), F.col("passage"), F.lit("language"), F.col("lang"), F.lit("source"), F.col("source"))))
     return replies.grounding(docs)

@@ -1,5 +1,7 @@
 """Queries over raw postings: reading, filtering, keys, upsert, retention, quality."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postlake.functions.times import instant
@@ -8,7 +10,8 @@ from postlake.plans.registry import query
 from postlake.plans.standins import (
     AS_OF, DAYS, INCOMING_SQL, POSTINGS_SQL, STORED_SQL, incoming, plain, postings, stored, table,
 )
-from postlake.sources import landed
+from postlake.session import shared_folder
+from postlake.sources import buckets, landed
 
 RP = f"WITH {POSTINGS_SQL}"
 ALL = f"WITH {POSTINGS_SQL},{STORED_SQL},{INCOMING_SQL}"
@@ -228,7 +231,11 @@ SELECT p.source, p.external_id, p.raw_text, CASE WHEN p.stored THEN p.old_month
        CASE WHEN p.stored THEN TIMESTAMP '2024-01-20 12:00:00' ELSE TIMESTAMP '{AS_OF}' END, TIMESTAMP '{AS_OF}'
 FROM per p WHERE p.changed > 0""")
 def upsert_next(spark, sf):
-    after, _ = upsert.upsert(stored(spark, sf), incoming(spark, sf), AS_OF, ["wave", "id"], F.col("wave"))
+    """The batch merged into a table in buckets, as a load does it."""
+    root = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    buckets.replace_rows(stored(spark, sf), root)
+    buckets.merge(spark, root, incoming(spark, sf), "batch", AS_OF, ["wave", "id"], F.col("wave"))
+    after = buckets.read_table(spark, root)
     return after.withColumns({c: plain(c) for c in ("posted_at", "ingested_at", "updated_at")})
 
 
@@ -246,7 +253,7 @@ FROM s GROUP BY ROLLUP (source)"""
 
 @query("load_stats", _STATS_SQL)
 def load_stats(spark, sf):
-    _, stats = upsert.upsert(stored(spark, sf), incoming(spark, sf), AS_OF, ["wave", "id"])
+    _, stats = upsert.upsert(stored(spark, sf), incoming(spark, sf), AS_OF, ["wave", "id"], F.col("wave"))
     return stats
 
 

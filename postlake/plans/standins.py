@@ -4,11 +4,14 @@ Every stand-in covers whole tables. ``*_SQL`` are the same derivations as common
 table expressions for the SQL side.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from postlake.functions.times import instant
+from postlake.functions.times import instant, utc_month
+from postlake.operators.scorer import Reply
 from postlake.session import configure
 
 AS_OF = "2024-01-31"
@@ -45,7 +48,7 @@ def postings(spark, sf, busy=False) -> DataFrame:
     return docs.join(seen, "doc_id", "left").select(
         F.col("doc_id").alias("id"), source.alias("source"),
         F.col("doc_id").cast("string").alias("external_id"), F.col("text").alias("raw_text"),
-        F.trunc("posted_at", "MM").alias("thread_month"), "posted_at", "lang", "n_chars")
+        utc_month("posted_at").alias("thread_month"), "posted_at", "lang", "n_chars")
 
 
 POSTINGS_SQL = """
@@ -147,6 +150,21 @@ def role_rows(spark, sf, with_index=False) -> DataFrame:
                     role.alias("role"), "o_orderdate"))
 
 
+def stand_in_model(raises=False):
+    """A model that goes by the length of a text, and some texts it cannot read: with ``raises`` they break its whole call."""
+    def one(text):
+        n = len(text)
+        if n % 11 == 0:
+            if raises:
+                raise ValueError("cannot read this")
+            return ValueError("cannot read this")
+        posting = {"doc_type": "posting", "company": f"Company {n}", "source_quotes": {"company": f"Company {n}"}}
+        said = "no JSON" if n % 5 == 0 else json.dumps({"doc_type": "other"} if n % 3 == 0 else posting)
+        return Reply(said, n, n % 13)
+
+    return lambda texts: [one(t) for t in texts]
+
+
 ROLES_SQL = """
 vx AS (
   SELECT o.o_orderkey AS raw_posting_id, l.rn - 1 AS role_index, c.c_name AS company, p.p_name AS title,

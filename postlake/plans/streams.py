@@ -49,8 +49,8 @@ def stream_upsert(spark, sf):
         F.col("lang") == "en", F.concat("raw_text", F.lit("!"))).otherwise(F.col("raw_text")))
     dest = scratch(spark)
     replace_rows(stored(spark, sf), f"{dest}/table")
-    jobs.stream_upsert(land(spark, sf, rows, "postings"), dest, f"{dest}/state", ["id"], AS_OF, DAYS
-                       ).awaitTermination()
+    jobs.stream_upsert(land(spark, sf, rows, "postings"), dest, f"{dest}/state", ["id"], AS_OF, DAYS,
+                       chunk=F.expr("id div 100000")).awaitTermination()
     return read_table(spark, f"{dest}/table").select(
         "source", "external_id", "raw_text", plain("updated_at").alias("updated_at"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_CONFIGURED = "spark.postlake.configured"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 SETTINGS = {
@@ -28,21 +29,24 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that already exists and send it the package, once."""
-    if spark.sparkContext.applicationId not in _SHIPPED:
+    """Apply the runtime settings to a session that already exists, once for each session, and send its workers the package."""
+    if spark.conf.get(_CONFIGURED, None) is None:  # a setting as well, so that every session has its own
         for key, value in SETTINGS.items():
             spark.conf.set(key, value)
-        ship(spark)
+        spark.conf.set(_CONFIGURED, "true")
+    ship(spark)
     return spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to all Python workers, wherever the driver was started from; once for a session."""
+    """Send the package to all Python workers, wherever the driver was started from; once for an application."""
     root = Path(__file__).parent
     if spark.sparkContext.applicationId in _SHIPPED or not root.is_dir():  # or it runs from an archive already
         return
     _SHIPPED.add(spark.sparkContext.applicationId)
-    path = Path(tempfile.mkdtemp(prefix="postlake-package-")) / "postlake.zip"
+    folder = tempfile.mkdtemp(prefix="postlake-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "postlake.zip"
     with zipfile.ZipFile(path, "w") as package:
         for file in sorted(root.rglob("*.py")):
             package.write(file, Path(root.name) / file.relative_to(root))
