@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.session import cut_lineage, shared_folder, ship
+from postlake.session import configure, cut_lineage, shared_folder
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    configure(spark)
     if spark.conf.get(_BATCH, None) is None:  # long texts fill a batch long before its rows do
         spark.conf.set(_BATCH, "4MB")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
