@@ -2,6 +2,7 @@
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -39,7 +40,10 @@ class Totals:
         return df.observe(self._observation, *[c.alias(n) for n, c in self._aggregates.items()])
 
     def get(self) -> dict:
-        found = self._observation.get
+        try:
+            found = self._observation.get
+        except Py4JJavaError:  # the optimiser saw that there are no rows, and left nothing to observe
+            found = {}
         return {n: found.get(n) or 0 for n in self._aggregates}
 
 
