@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from postlake.operators import analytics, normalise
+from postlake.operators import analytics, normalise, sketches
 from postlake.plans.cleaning import LEVELS
 from postlake.plans.extract import VX, stored_roles
 from postlake.plans.registry import query
 from postlake.plans.standins import POSTINGS_SQL, postings, table
+from postlake.session import cut_lineage
 
 RP = f"WITH {POSTINGS_SQL}"
 SKILLS = f"{VX}, sk AS (SELECT *, unnest(stack) AS skill FROM vx)"
@@ -97,6 +98,45 @@ def skill_trend(spark, sf):
     return analytics.skill_trend(analytics.month_counts(stored_roles(spark, sf), _dated(spark, sf)))
 
 
+def _sketched(spark, sf):
+    """(rows, sketches): skills with customers and amounts, and their sketches per month, of two loads merged."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("raw_posting_id"), "o_custkey",
+                                               F.trunc("o_orderdate", "MM").alias("month"))
+    rows = stored_roles(spark, sf).select("raw_posting_id", F.explode("stack").alias("skill"), "salary_currency", "salary_min").join(orders, "raw_posting_id")
+    by = ["month", "skill", "salary_currency"]
+    loads = [cut_lineage(sketches.rollup_sketches(rows.filter(part), by, "o_custkey", "salary_min")) for part in ("raw_posting_id % 2 = 0", "raw_posting_id % 2 = 1")]
+    return rows, cut_lineage(sketches.merge_sketches(loads[0], by, loads[1])), loads[0]
+
+
+@query("rollup_sketches", f"""{SKILLS}
+SELECT skill, count(DISTINCT o_custkey) AS customers, TRUE AS within
+FROM sk JOIN orders ON o_orderkey = raw_posting_id GROUP BY skill""")
+def rollup_sketches(spark, sf):
+    """Customers per skill, from sketches per month into which the first load was merged twice, beside the exact counts."""
+    rows, stored, again = _sketched(spark, sf)
+    counted = sketches.distinct_counts(sketches.merge_sketches(stored, ["skill"], again), "estimate")
+    exact = rows.groupBy("skill").agg(F.count_distinct("o_custkey").alias("customers"))
+    off = F.abs(F.col("estimate") - F.col("customers"))
+    return exact.join(counted, "skill", "left").select("skill", "customers", (off <= F.col("customers") * sketches.COUNT_ERROR + 1).alias("within"))
+
+
+@query("merged_quartiles", f"""{SKILLS}
+SELECT skill, salary_currency, count(*) AS n, TRUE AS within FROM sk WHERE salary_min IS NOT NULL GROUP BY 1, 2""")
+def merged_quartiles(spark, sf):
+    """Quartiles of amounts from sketches per month, and whether their ranks among all amounts are near their places."""
+    rows, stored, _ = _sketched(spark, sf)
+    key = ["skill", "salary_currency"]
+    found = sketches.quartiles(sketches.merge_sketches(stored.drop("counted"), key))
+    points = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    ranks = [c for n in points for c in (F.avg((F.col("salary_min") < F.col(n)).cast("double")).alias(f"{n}_below"),
+                                         F.avg((F.col("salary_min") <= F.col(n)).cast("double")).alias(f"{n}_upto"))]
+    told = rows.filter("salary_min IS NOT NULL").join(found, key).groupBy(*key, "n").agg(*ranks)
+    within = F.lit(True)
+    for n, p in points.items():
+        within = within & (F.col(f"{n}_below") <= p + sketches.RANK_ERROR) & (F.col(f"{n}_upto") >= p - sketches.RANK_ERROR)
+    return told.select(*key, "n", within.alias("within"))
+
+
 @query("corpus_profile", f"""{RP}
 SELECT source, count(*) AS postings, avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END) AS salary_share
 FROM rp GROUP BY source""")
