@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from postlake.llm.suffixes import remove_repeats
+from postlake.llm.suffixes import _beside, remove_repeats
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -84,3 +84,22 @@ def test_equals_brute_force(spark, seed):
     assert sorted(((r.doc_id, r._text, r._words, r._cut) for r in got.collect()), key=repr) == _brute(rows, 20)
     if seed == 1:
         assert remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_neighbours_across_ranges(spark, ranges):
+    """A hot key, repeated rows and ranges of one row: each different row is told once at least, rightly."""
+    rng = random.Random(ranges)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, rng.randrange(5, 40)]), rng.choice([None, *range(30)]), bytes([rng.randrange(3)])) for _ in range(300)]
+    rows += [(1, 7, b"x")] * 200 + [(100, 1, b"a")] * 50
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        frame = spark.createDataFrame(rows, "key long, doc long, id binary").repartition(5)
+        got = [(r.key, r.doc, bytes(r.id), r.after) for r in _beside(frame, "key", "trial").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(set(rows), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    sizes = {k: sum(r[0] == k for r in order) for k in {r[0] for r in order}}
+    assert {r[:3] for r in got} == {r for r in order if sizes[r[0]] > 1}
+    assert {r[:3] for r in got if r[3]} == {r for before, r in zip(order, order[1:], strict=False) if before[0] == r[0]}
