@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from postlake.operators.similar import similar_within, trigrams
 from postlake.schemas import KEY, TRUTH_FIELDS
+from postlake.session import cut_lineage
 
 
 def field_accuracy(pred: DataFrame, truth: DataFrame, fields=None, key=tuple(KEY)) -> DataFrame:
@@ -59,15 +60,15 @@ def role_count_error(pred: DataFrame, truth: DataFrame, key="raw_posting_id") ->
 def align_roles(pred: DataFrame, truth: DataFrame, threshold=0.3, key="raw_posting_id") -> DataFrame:
     """Pair predicted with labelled roles of one posting by title.
 
-    Equal titles pair in order of their index. Among the others a pair is made
-    of two roles that are each other's best match by trigram similarity.
+    Equal titles pair in order of their index. Of the others the most similar pair by trigrams is taken, then the
+    most similar of what is left, as long as they reach the threshold; ties go to the smaller indices.
     """
     def numbered(df, name):
         nth = F.row_number().over(Window.partitionBy(key, "title").orderBy("role_index"))
         return df.filter(F.col("title").isNotNull()).select(
             key, "title", nth.alias("nth"), F.col("role_index").alias(name))
 
-    both = numbered(pred, "pred_index").join(numbered(truth, "truth_index"), [key, "title", "nth"], "full")
+    both = cut_lineage(numbered(pred, "pred_index").join(numbered(truth, "truth_index"), [key, "title", "nth"], "full"))
     equal = both.filter("pred_index IS NOT NULL AND truth_index IS NOT NULL").select(
         key, "pred_index", "truth_index", F.lit(1.0).alias("similarity"))
 
@@ -79,11 +80,17 @@ def align_roles(pred: DataFrame, truth: DataFrame, threshold=0.3, key="raw_posti
     pairs = similar_within(rest("pred_index", "truth_index"), rest("truth_index", "pred_index"), threshold, "k")
     pairs = pairs.select(F.col("id_a.k").alias(key), F.col("id_a.i").alias("pred_index"),
                          F.col("id_b.i").alias("truth_index"), "similarity")
-    # Both ranks come from one exchange: rows of a posting are together in it.
-    of_pred = Window.partitionBy(key, "pred_index").orderBy(F.desc("similarity"), "truth_index")
-    of_truth = Window.partitionBy(key, "truth_index").orderBy(F.desc("similarity"), "pred_index")
-    best = pairs.repartition(key).withColumns({"_p": F.row_number().over(of_pred), "_t": F.row_number().over(of_truth)})
-    return equal.unionByName(best.filter("_p = 1 AND _t = 1").drop("_p", "_t"))
+    # One array per posting, as long as the pairs that one reply can make.
+    ordered = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("similarity")).alias("order"), "pred_index", "truth_index"))).alias("pairs"))
+
+    def taken(chosen, pair):
+        return F.exists(chosen, lambda c: (c["pred_index"] == pair["pred_index"]) | (c["truth_index"] == pair["truth_index"]))
+
+    best = F.aggregate("pairs", F.slice("pairs", 1, 0), lambda chosen, pair: F.when(taken(chosen, pair), chosen).otherwise(
+        F.array_append(chosen, pair)))
+    greedy = ordered.select(key, F.inline(best)).select(key, "pred_index", "truth_index", (-F.col("order")).alias("similarity"))
+    return equal.unionByName(greedy)
 
 
 def skill_prf(pred: DataFrame, truth: DataFrame, key=tuple(KEY)) -> DataFrame:

@@ -68,7 +68,7 @@ def role_count_error(spark, sf):
 
 
 @query("align_roles", """
-WITH p AS (SELECT l_orderkey AS k, l_partkey * 10 + l_linenumber AS i, p_name AS title FROM lineitem
+WITH RECURSIVE p AS (SELECT l_orderkey AS k, l_partkey * 10 + l_linenumber AS i, p_name AS title FROM lineitem
            JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'
            QUALIFY row_number() OVER (PARTITION BY l_orderkey, i ORDER BY l_suppkey, l_extendedprice, l_shipdate) = 1),
 t AS (SELECT l_orderkey AS k, l_partkey * 10 + l_linenumber AS i, p_name AS title FROM lineitem
@@ -83,12 +83,15 @@ c AS (SELECT p.k, p.i AS pi, t.i AS ti, len(list_intersect(a.g, b.g)) AS s, len(
       FROM p JOIN t ON p.k = t.k JOIN tri a ON a.title = p.title JOIN tri b ON b.title = t.title
       WHERE NOT EXISTS (SELECT 1 FROM eq WHERE eq.k = p.k AND eq.pi = p.i)
         AND NOT EXISTS (SELECT 1 FROM eq WHERE eq.k = p.k AND eq.ti = t.i)),
-r AS (SELECT k, pi, ti, s / (total - s) AS sim,
-             row_number() OVER (PARTITION BY k, pi ORDER BY s / (total - s) DESC, ti) AS rp,
-             row_number() OVER (PARTITION BY k, ti ORDER BY s / (total - s) DESC, pi) AS rt
-      FROM c WHERE s / (total - s) >= 0.3)
+r AS (SELECT k, pi, ti, s / (total - s) AS sim, row_number() OVER (PARTITION BY k ORDER BY s / (total - s) DESC, pi, ti) AS place
+      FROM c WHERE s / (total - s) >= 0.3),
+g AS (SELECT k, 0::BIGINT AS place, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS ts, FALSE AS taken FROM (SELECT DISTINCT k FROM r)
+      UNION ALL
+      SELECT g.k, r.place, CASE WHEN free THEN list_append(ps, pi) ELSE ps END, CASE WHEN free THEN list_append(ts, ti) ELSE ts END, free
+      FROM g JOIN (SELECT * FROM r) r ON r.k = g.k AND r.place = g.place + 1,
+           LATERAL (SELECT NOT list_contains(ps, pi) AND NOT list_contains(ts, ti) AS free))
 SELECT k AS raw_posting_id, pi AS pred_index, ti AS truth_index, 1.0 AS similarity FROM eq
-UNION ALL SELECT k, pi, ti, sim FROM r WHERE rp = 1 AND rt = 1""")
+UNION ALL SELECT k, pi, ti, sim FROM r JOIN g USING (k, place) WHERE taken""")
 def align_roles(spark, sf):
     """Returned lines against the other lines of each order, by the name of the part."""
     lines = (table(spark, sf, "lineitem")

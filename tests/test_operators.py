@@ -224,3 +224,37 @@ def test_align_roles(spark):
                                   "raw_posting_id long, role_index int, title string")
     got = {(r["raw_posting_id"], r["pred_index"], r["truth_index"]) for r in evals.align_roles(pred, truth).collect()}
     assert got == {(1, 0, 5), (1, 2, 6)}
+
+
+def test_align_roles_equals_a_greedy_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["data", "engineer", "senior", "go", "lead", "qa", "analyst", "engineering"]
+
+    def roles(n):
+        return [(k, i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))) for k in range(n) for i in range(rng.randrange(7))]
+
+    def grams(t):
+        return {t[i:i + 3] for i in range(max(1, len(t) - 2))}
+
+    pred, truth, want = roles(40), roles(40), set()
+    for k in range(40):
+        p, t = [(i, x) for q, i, x in pred if q == k], [(i, x) for q, i, x in truth if q == k]
+        for title in {x for _, x in p}:
+            for a, b in zip([i for i, x in p if x == title], [i for i, x in t if x == title], strict=False):
+                want.add((k, a, b))
+        p = [(i, x) for i, x in p if not any((k, i) == w[:2] for w in want)]
+        t = [(i, x) for i, x in t if not any((k, i) == (w[0], w[2]) for w in want)]
+        while True:
+            left = [(-len(grams(x) & grams(y)) / len(grams(x) | grams(y)), a, b) for a, x in p for b, y in t]
+            left = [c for c in left if -c[0] >= 0.3]
+            if not left:
+                break
+            _, a, b = min(left)
+            want.add((k, a, b))
+            p, t = [c for c in p if c[0] != a], [c for c in t if c[0] != b]
+    schema = "raw_posting_id long, role_index int, title string"
+    found = evals.align_roles(spark.createDataFrame(pred, schema), spark.createDataFrame(truth, schema)).collect()
+    assert {(r["raw_posting_id"], r["pred_index"], r["truth_index"]) for r in found} == want
+    assert len(found) == len(want) > 30
