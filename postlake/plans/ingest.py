@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from postlake.functions.times import instant
 from postlake.operators import filters, keys, quality, retention, sampling, upsert
-from postlake.plans.registry import query
+from postlake.plans.registry import SQL, query
 from postlake.plans.standins import (
     AS_OF, DAYS, INCOMING_SQL, POSTINGS_SQL, STORED_SQL, incoming, plain, postings, stored, table,
 )
 from postlake.session import shared_folder
 from postlake.sources import buckets, landed
+from postlake.sources.placed import place_rows
 
 RP = f"WITH {POSTINGS_SQL}"
 ALL = f"WITH {POSTINGS_SQL},{STORED_SQL},{INCOMING_SQL}"
@@ -197,6 +198,34 @@ def cascade(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
+def _placed(spark, df, key):
+    return place_rows(df, f"{shared_folder(spark)}/placed-{uuid.uuid4().hex}", key)
+
+
+@query("placed_new_only", SQL["new_only"])
+def placed_new_only(spark, sf):
+    """The same with the stored side lying by its key."""
+    known = _placed(spark, table(spark, sf, "labels"), "doc_id")
+    return keys.new_only(table(spark, sf, "documents"), known, ["doc_id"]).select("doc_id", "lang")
+
+
+@query("placed_pending", SQL["pending_work"])
+def placed_pending(spark, sf):
+    """Postings and runs both lie by the posting."""
+    raw = _placed(spark, postings(spark, sf).withColumnRenamed("id", "raw_posting_id"), "raw_posting_id")
+    runs = _placed(spark, table(spark, sf, "labels").select(F.col("doc_id").alias("raw_posting_id"), F.lit("ok").alias("status")), "raw_posting_id")
+    return keys.pending(raw, runs, ["hn", "habr"]).select("raw_posting_id", "source")
+
+
+@query("placed_cascade", SQL["cascade"])
+def placed_cascade(spark, sf):
+    """Roles and postings both lie by the posting, so a purge finds the roles that lost theirs without dealing them anew."""
+    lines = _placed(spark, table(spark, sf, "lineitem"), "l_orderkey")
+    orders = _placed(spark, table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    return keys.cascade(lines, orders.filter("o_orderdate >= TIMESTAMP_NTZ '1997-01-01'"), "l_orderkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 @query("key_violations", """
 SELECT l_orderkey, l_linenumber, count(*) AS rows, 'duplicate' AS problem
 FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1
