@@ -8,6 +8,7 @@ from postlake.functions.times import cutoff, utc_month
 from postlake.operators.ranking import first_n
 from postlake.operators.steps import once
 from postlake.operators.totals import run_totals
+from postlake.session import cut_lineage
 
 
 def coverage(runs: DataFrame) -> DataFrame:
@@ -46,8 +47,8 @@ def salary_distribution(roles: DataFrame, by=(), amount="salary_min", currency="
     """
     keys = [*by, currency]
     stated = once(roles.select(*keys, amount), {"value": F.col(amount)}).filter("value IS NOT NULL")
-    counts = (stated.groupBy(*keys, "value").agg(F.count("*").alias("rows"))
-              .withColumn("_bucket", F.floor(F.col("value") / bucket)))
+    counts = cut_lineage(stated.groupBy(*keys, "value").agg(F.count("*").alias("rows"))
+                         .withColumn("_bucket", F.floor(F.col("value") / bucket)), "values")
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("rows").alias("_rows"))
     w = Window.partitionBy(*keys)
     up_to = w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -107,12 +108,13 @@ def monthly_rollup(roles: DataFrame, raw: DataFrame, existing: DataFrame, as_of=
     With ``as_of``, a stored month that the purge has begun to eat (it started
     before the window) keeps its old counts.
     """
-    fresh = month_counts(roles, raw, posting)
+    fresh = month_counts(roles, raw, posting) if as_of is None else cut_lineage(month_counts(roles, raw, posting), "counts")
     if as_of is not None:
         partial = F.col("month").cast("timestamp") < cutoff(as_of, days)
         stored = existing.select("month").distinct()
         fresh = fresh.filter(~partial).unionByName(
             fresh.filter(partial).join(stored, "month", "left_anti"))
+    fresh = cut_lineage(fresh, "months")  # the months and their counts come from one reading of the roles
     months = fresh.select("month").distinct()
     return existing.select(*fresh.columns).join(months, "month", "left_anti").unionByName(fresh)
 
@@ -123,6 +125,7 @@ def skill_trend(rollup: DataFrame) -> DataFrame:
     The rank is taken over the distinct counts of a month, which are few however
     many skills there are, and joined back.
     """
+    rollup = cut_lineage(rollup, "rollup")
     w = Window.partitionBy("skill").orderBy("month")
     before = F.when(F.lag("month").over(w) == F.add_months("month", -1), F.lag("postings").over(w))
     ranks = (rollup.select("month", "postings").distinct()

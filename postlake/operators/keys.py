@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.schemas import KEY
+from postlake.session import cut_lineage
 
 PENDING_ORDER = ("ingested_at", "source", "external_id")
 
@@ -59,8 +60,10 @@ def missing_ids(df: DataFrame, ids: DataFrame, col="external_id") -> DataFrame:
 
 def fetch_rows(df: DataFrame, ids: DataFrame, col="external_id") -> DataFrame:
     """Rows of the wanted ids, ordered by id; raises if any id is missing."""
-    absent = missing_ids(df, ids, col)
-    some = [r[0] for r in absent.orderBy(col).limit(20).collect()]
+    # One reading of the table finds the rows and the ids without one.
+    wanted = ids.toDF(col).distinct().withColumn("_wanted", F.lit(True))
+    found = cut_lineage(df.withColumn("_found", F.lit(True)).join(wanted, col, "right"), "rows")
+    some = [r[0] for r in found.filter("_found IS NULL").orderBy(col).limit(20).select(col).collect()]
     if some:
         raise LookupError(f"ids not in the table, the first are {some}")
-    return df.join(ids.toDF(col).distinct(), col, "left_semi").orderBy(col)
+    return found.select(*df.columns).orderBy(col)

@@ -7,6 +7,7 @@ from postlake import vocab
 from postlake.functions.text import lookup
 from postlake.operators.keys import fetch_rows
 from postlake.operators.ranking import first_n
+from postlake.session import cut_lineage
 
 
 def header_company(c="raw_text") -> Column:
@@ -28,7 +29,8 @@ def stratified_sample(pool: DataFrame, quotas: dict, seed=vocab.GOLD_SEED, stric
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), "external_id"))
     ranked = first_n(pool.filter(wanted > 0).withColumn("_draw", drawn), ["source"],
                      ["_draw", "external_id"], max(quotas.values()))
-    sample = ranked.filter(F.col("rank") <= wanted).drop("_draw", "rank")
+    # As many rows as the quotas say: written down, the pool is read once for the check and the result.
+    sample = cut_lineage(ranked.filter(F.col("rank") <= wanted).drop("_draw", "rank"), "sample")
     if strict:
         found = dict(sample.groupBy("source").count().collect())  # one row per quota
         short = {s: found.get(s, 0) for s, n in quotas.items() if found.get(s, 0) < n}

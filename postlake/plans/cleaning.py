@@ -128,7 +128,7 @@ def normalise_remote(spark, sf):
     orders = (table(spark, sf, "orders")
               .withColumn("flag", F.when(F.col("o_orderpriority") == "1-URGENT", status == "F"))
               .withColumn("said", F.when(status == "O", "In  Office").when(status == "P", "partially_remote")
-                          .otherwise("USA, CST (UTC-6)")))
+                          .otherwise("Somewhere by the sea")))
     return normalise.normalise_remote(orders, "said", "flag").select("o_orderkey", "remote_policy")
 
 

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from postlake import vocab
 from postlake.functions.times import instant
 from postlake.operators import filters, keys, quality, retention, sampling, upsert
 from postlake.plans.registry import SQL, query
@@ -381,7 +382,7 @@ def first_per_company(spark, sf):
     return sampling.first_per_company(postings(spark, sf)).select("company", "external_id", "source")
 
 
-QUOTAS = {"hn": 16, "habr": 10, "web3": 8, "remotive": 6}
+QUOTAS = vocab.GOLD_QUOTAS
 
 
 @query("stratified_sample", f"""{RP}
