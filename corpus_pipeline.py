@@ -1,7 +1,8 @@
 """From documents to packed token sequences, in stages that are each written down.
 
 Every stage takes (spark, documents that its predecessor kept, folder of the tables). All but the last return the
-columns of documents. Rows with nulls, empty texts and repeated rows go through as the operators state.
+columns of documents, with whatever other columns these have, by any name. Rows with nulls, empty texts and repeated
+rows go through as the operators state.
 """
 
 from __future__ import annotations
@@ -22,28 +23,31 @@ PASSAGE = 50
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; the scores are learned from the labelled ones of this input."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, name="_score").where(F.col("_score") < TOXIC).select(*_columns(docs))
+    return toxicity.with_score(_apart(docs), model).where(F.col("score") < TOXIC).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near duplicates one row: that with the smallest id, null being the largest, and of
     rows that share it one with the smallest hash of its text. Documents without a word stay."""
-    found = jaccard.similar(docs).where("group is not null")
+    found = stored(jaccard.similar(docs).where("group is not null").select("group", "doc", "text_hash"), "groups")
     rank = F.struct(F.col("doc").isNull().alias("null"), "doc", "text_hash")
     several = found.groupBy("group").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select("group", "best")
-    row = F.xxhash64("doc", "text_hash").alias("_row")
-    marks = stored(found.join(several, "group").select(row, rank.eqNullSafe(F.col("best")).alias("_best")).distinct(), "marks")
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64("text"))).join(marks, "_row", "left")
-    alone = marked.where("_best is null").select(*_columns(docs))
-    return alone.unionByName(marked.where("_best").dropDuplicates(["_row"]).select(*_columns(docs)))
+    # Written down, so that a group with many rows can be split where it is joined.
+    several = stored(several, "several")
+    marks = stored(found.join(several, "group").select("doc", "text_hash", rank.eqNullSafe(F.col("best")).alias("best")).distinct(), "marks")
+    known = _apart(docs).withColumn("hash", F.xxhash64("text"))
+    marked = known.join(marks, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left")
+    best = marked.where("best").dropDuplicates(["doc_id", "hash"])
+    return marked.where("best is null").select("row.*").unionByName(best.select("row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of PASSAGE words or more that an earlier document has, or the same one has before;
-    a document of which no word is left goes."""
-    cut = suffixes.remove_repeats(docs, least_words=PASSAGE)
-    return cut.where("_cut = 0 or _cut < _words").withColumns({
-        "text": F.col("_text"), "n_chars": F.when(F.col("_cut") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))}).select(*_columns(docs))
+    a document of which no word is left goes. ``n_chars``, where there is one, is that of the new text."""
+    cut = suffixes.remove_repeats(_apart(docs), least_words=PASSAGE).where("_cut = 0 or _cut < _words")
+    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_cut") > 0, F.length("_text").cast("long")).otherwise(
+        F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +61,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=added).withColumnRenamed("doc", "doc_id")
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _apart(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` beside the whole ``row``, whose columns then clash with none that a stage adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", keep_one_of_each), ("repeated passages", cut_repeats),
