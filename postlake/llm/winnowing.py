@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake.llm.shared import batches, stored
-from postlake.llm.words import Words, grams, window_minima, words
+from postlake.llm.words import BASE, U, Words, grams, mix, window_minima, words
 
 #: Bytes in a MB of a block.
 BLOCK = 1 << 20
+#: Pairs of equal fingerprints that are extended at once.
+PAIRS = 1 << 20
 
 
 class Index:
@@ -31,6 +33,13 @@ class Index:
         self.words, self.owner, sizes = w.hashes, w.owner, np.diff(w.first)
         keys, valid = grams(w, gram)
         at = np.flatnonzero(window_minima(keys, valid, window - gram + 1))
+        # Places of an item with the same words around them, as far as a match is extended, match the same: one serves for all.
+        around = np.zeros(len(at), U)
+        for step in range(gram - window, window):
+            near = np.clip(at + step, 0, max(len(w.hashes) - 1, 0))
+            inside = (at + step == near) & (w.owner[near] == w.owner[at])
+            around = mix(around * U(BASE) + np.where(inside, w.hashes[near] | U(1), U(0)))
+        at = at[np.unique(np.stack([w.owner[at].astype(U), around], 1), axis=0, return_index=True)[1]]
         order = np.argsort(keys[at], kind="stable")
         self.at, self.keys = at[order], keys[at][order]
         self.short = {}
@@ -44,12 +53,16 @@ class Index:
         """First word, end word and item of each stretch of ``w`` that holds only words of windows found."""
         keys, valid = grams(w, self.gram)
         here = np.flatnonzero(window_minima(keys, valid, self.window - self.gram + 1))
-        row, there = _equal(keys[here], self.keys)
-        here, there = here[row], self.at[there]
-        left, right = (self._reach(w, here, there, step, most)
-                       for step, most in ((-1, self.window - self.gram), (1, self.window)))
-        long = left + right >= self.window
-        found = [((here - left)[long], (here + right)[long], self.owner[there[long]])]
+        found = [(np.zeros(0, np.int64),) * 3]
+        for part in _runs(keys[here], self.keys):
+            own = here[part]
+            row, there = _equal(keys[own], self.keys)
+            own, there = own[row], self.at[there]
+            left, right = (self._reach(w, own, there, step, most)
+                           for step, most in ((-1, self.window - self.gram), (1, self.window)))
+            long = left + right >= self.window
+            spans = np.stack([(own - left)[long], (own + right)[long], self.owner[there[long]]])
+            found.append(tuple(np.unique(spans, axis=1)))
         for n, (items, whole) in self.short.items():
             keys, valid = grams(w, n)
             at = np.flatnonzero(valid)
@@ -72,6 +85,17 @@ class Index:
         return reach
 
 
+def _runs(left: np.ndarray, right: np.ndarray) -> Iterator[slice]:
+    """Stretches of ``left`` that have about PAIRS places of ``right`` with equal values at most; ``right`` is sorted."""
+    ends = np.cumsum(np.searchsorted(right, left, "right") - np.searchsorted(right, left, "left"))
+    start = 0
+    while start < len(left):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def _equal(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of places with equal values; ``right`` is sorted."""
     start, end = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from postlake.llm.shared import stored
@@ -56,6 +57,23 @@ def test_stages(spark, folder):
     assert len(pipeline.run(spark, folder).collect()) == len(packed)
 
 
+def test_other_columns_are_kept_by_any_name(spark, folder):
+    """Columns that stages use themselves, or that are called like the operators' own."""
+    names = ["_row", "_best", "_score", "score", "_text", "_words", "_cut", "row", "doc", "hash", "text_hash", "best", "group", "digest", "id", "a.b"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    plain = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        wide, plain = (stored(stage(spark, d, folder), "stage") for d in (wide, plain))
+        assert wide.columns == [*docs.columns, *names]
+        rows = wide.collect()
+        assert all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in rows if r.doc_id is not None and r.text is not None) == sorted(
+            (r.doc_id, r.text, r.n_chars) for r in plain.collect() if r.doc_id is not None and r.text is not None)
+    bare = pipeline.cut_repeats(spark, docs.select("text", "doc_id"), folder)
+    assert bare.columns == ["text", "doc_id"] and bare.count() == pipeline.cut_repeats(spark, docs, folder).count()
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

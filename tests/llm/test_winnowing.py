@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from postlake.llm.winnowing import find_items, without_items
+from postlake.llm.words import words
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -66,3 +68,22 @@ def test_empty_tables(spark):
     assert find_items(none, items).count() == 0
     one = find_items(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items).first()
     assert (one.n_words, one.spans, one["items"]) == (2, [], [])
+
+
+def test_repeated_words_take_little_memory(spark):
+    """One word, and two in turn, thousands of times on both sides: places that match the same count once."""
+    import tracemalloc
+
+    from postlake.llm.winnowing import Index
+
+    texts = [b"la " * 20_000, b"la di " * 10_000]
+    index = Index(["a", "b"], texts, 10, 5)
+    assert len(index.at) < 60
+    tracemalloc.start()
+    first, end, item = index.hits(words([b"x " + b"la " * 20_000 + b"la di " * 10_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hit = np.zeros(40_001, bool)
+    for a, b in zip(first, end, strict=True):
+        hit[a:b] = True
+    assert not hit[0] and hit[1:].all() and set(item) == {0, 1} and peak < 400 << 20
