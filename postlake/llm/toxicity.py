@@ -66,14 +66,16 @@ def _raw(owner, term, n, weights, factors, bias):
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text",
-        label: str = "toxic", per_class: int = 15_000, n_terms: int = 2048, rank: int = 4, rounds: int = 200, least_ratio: float = 8.0) -> Model:
+        label: str = "toxic", per_class: int = 15_000, n_terms: int = 2048, n_frequent: int = 1024, rank: int = 4, rounds: int = 200,
+        least_ratio: float = 8.0, least_pair: float = 25.0) -> Model:
     """Learn from labelled documents for which ``learn`` (a condition over ``doc``, their key) holds.
 
     Of each class about ``per_class`` documents at most are read, chosen by a hash of their key: the bound of the
-    labelled sample, of what is sent to all tasks and of what returns. Its terms are counted per class; the ``n_terms``
-    that tell the classes apart best, by a log-likelihood ratio of ``least_ratio`` or more, get a weight and ``rank``
-    factors each, fitted by gradient steps; the bias is set right for the share of each class among all rows. Rows with a null key or label are not
-    used; of rows with one key the first label counts. With a single class every score is its rate,
+    labelled sample, of what is sent to all tasks and of what returns. Its terms are counted per class. Candidates are the ``n_terms``
+    that tell the classes apart best, by a log-likelihood ratio of ``least_ratio`` or more, and the ``n_frequent`` that most documents
+    hold, whatever they tell alone: of these such stay as make a pair, with any candidate, whose ratio is ``least_pair`` above those of its two
+    terms together. Terms that stay get a weight and ``rank`` factors each, fitted by gradient steps; the bias is set right for the share of each class among all rows. Rows with a null key or label are not
+    used; of rows with one key the largest label counts. With a single class every score is its rate,
     without any label 0.
     """
     own = labels.select(F.col(key).alias("doc"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
@@ -113,8 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     # Log-likelihood ratio of the two rates, against one rate for both.
     both = (a + b) / (n1 + n0 + 2)
     ratio = a * F.log(a / (n1 + 1) / both) + b * F.log(b / (n0 + 1) / both)
-    best = counted.where("a + b >= 3").withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "term").limit(n_terms)
-    chosen = np.sort(np.array([r.term for r in best.select("term").collect()], U))
+    counted = counted.where("a + b >= 3").withColumn("ratio", ratio)
+    best = counted.where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "term").limit(n_terms).select("term").collect()
+    frequent = counted.orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(n_frequent).select("term").collect()
+    telling = np.array(sorted(r.term for r in best), U)
+    chosen = np.unique(np.array([r.term for r in best + frequent], U))
     bare = Model.of(chosen, np.zeros(len(chosen)), np.zeros((len(chosen), rank)), 0.0)
     places = docs.sparkSession.sparkContext.broadcast(bare)
 
@@ -132,8 +137,39 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     rows = sample.mapInArrow(locate, shape).toArrow()
     label = rows["label"].combine_chunks().to_numpy()
     runs = rows["terms"].combine_chunks()
-    owner = np.repeat(np.arange(len(label)), runs.value_lengths().to_numpy())
-    return _fit(bare, owner, runs.flatten().to_numpy(), label, rank, rounds, np.log(toxic / clean) - np.log(n1 / n0))
+    owner, term = np.repeat(np.arange(len(label)), runs.value_lengths().to_numpy()), runs.flatten().to_numpy()
+    keep = np.isin(chosen, telling) | _paired(owner, term, label, len(chosen), least_pair)
+    number, own = np.cumsum(keep) - 1, keep[term]
+    kept = Model.of(chosen[keep], np.zeros(keep.sum()), np.zeros((keep.sum(), rank)), 0.0)
+    return _fit(kept, owner[own], number[term[own]], label, rank, rounds, np.log(toxic / clean) - np.log(n1 / n0))
+
+
+def _paired(owner, term, label, m: int, least: float, block: int = 1000) -> np.ndarray:
+    """Which terms make a pair that tells the classes apart by ``least`` more than its two terms do."""
+    together = np.zeros((2, m, m), np.float32)
+    for start in range(0, len(label), block):
+        own = (owner >= start) & (owner < start + block)
+        holds = np.zeros((block, m), np.float32)
+        holds[owner[own] - start, term[own]] = 1
+        ones = label[start:start + block] == 1
+        for k, part in enumerate((holds[:len(ones)][~ones], holds[:len(ones)][ones])):
+            together[k] += part.T @ part
+    sizes = np.array([(label == 0).sum(), (label == 1).sum()], np.float64) + 1
+    found = np.zeros(m, bool)
+    alone = _ratio(together[:, np.arange(m), np.arange(m)], sizes)
+    for start in range(0, m, block):
+        rows = np.arange(start, min(start + block, m))
+        more = _ratio(together[:, rows], sizes) - alone[rows][:, None] - alone
+        more[np.arange(len(rows)), rows] = 0
+        found[rows] |= (more >= least).any(1)
+    return found
+
+
+def _ratio(counts, sizes):
+    """Log-likelihood ratio of the rates of both classes, against one rate for both."""
+    b, a = counts.astype(np.float64) + 0.5
+    both = (a + b) / sizes.sum()
+    return a * np.log(a / sizes[1] / both) + b * np.log(b / sizes[0] / both)
 
 
 def _fit(model: Model, owner, term, label, rank: int, rounds: int, shift: float) -> Model:

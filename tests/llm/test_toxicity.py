@@ -46,6 +46,20 @@ def test_learns_an_interaction():
     assert (raw[[0, 1, 3]] < 0).all() and raw[2] > 0 and raw[2] > raw[0] + raw[1] - raw[3]
 
 
+def test_fit_learns_terms_that_tell_nothing_alone(spark):
+    """Two words that both classes hold equally often: together, or both missing, they make a text toxic."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1600):
+        first, second = rng.random(2) < 0.5
+        said = [f"filler{rng.integers(3000)}" for _ in range(12)] + ["those"] * int(first) + ["people"] * int(second)
+        rows.append((i, " ".join(rng.permutation(said)), int(first == second)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, label) for i, _, label in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in with_score(docs, fit(docs, labels, learn=F.col("doc") < 1000)).collect()}
+    assert np.mean([(got[i] >= 0.5) == (label == 1) for i, _, label in rows if i >= 1000]) > 0.95
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, "a vile word", 1.0), (2, None, 2.0), (None, "", 3.0), (1, "a vile word", 1.0), (3, "x" * 200_000, 1.0)],
                                  "doc_id long, text string, score double")
