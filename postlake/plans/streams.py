@@ -73,15 +73,41 @@ def stream_counts(spark, sf):
     return out.select(plain(F.col("start").cast("timestamp")).alias("start"), "source", "postings")
 
 
-@query("stream_edits", f"""{RP}
+@query("stream_counts_sliding", f"""{RP},
+w AS (SELECT source, unnest([date_trunc('day', posted_at), date_trunc('day', posted_at) - INTERVAL 1 DAY]) AS start FROM rp WHERE posted_at IS NOT NULL)
+SELECT start, source, count(*) AS postings FROM w
+GROUP BY 1, 2 HAVING start + INTERVAL 2 DAY <= (SELECT max(posted_at) - INTERVAL 1 DAY FROM rp)""")
+def stream_counts_sliding(spark, sf):
+    """Windows of two days that begin every day."""
+    rows = postings(spark, sf).select("source", "posted_at")
+    out = caught_up(spark, jobs.stream_counts(land(spark, sf, rows, "postings"), "2 days", "1 day"))
+    return out.select(plain(F.col("start").cast("timestamp")).alias("start"), "source", "postings")
+
+
+_EDITS = f"""{RP}
 SELECT source, external_id, 1 AS inserted, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS updated,
        CASE WHEN quality = 0 THEN 1 ELSE 0 END AS unchanged
-FROM rp LEFT JOIN labels ON doc_id = id WHERE posted_at IS NOT NULL""")
-def stream_edits(spark, sf):
+FROM rp LEFT JOIN labels ON doc_id = id WHERE posted_at IS NOT NULL"""
+
+
+def _edited(spark, sf):
+    """Postings, labelled ones twice, with another text if their quality is good."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
     waves = F.when(F.col("quality").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
-    rows = (postings(spark, sf).filter(F.col("posted_at").isNotNull()).join(labels, "id", "left")
+    return (postings(spark, sf).filter(F.col("posted_at").isNotNull()).join(labels, "id", "left")
             .withColumn("wave", F.explode(waves))
             .withColumn("raw_text", F.when((F.col("wave") == 2) & (F.col("quality") == 1),
                                            F.concat("raw_text", F.lit("?"))).otherwise(F.col("raw_text"))))
-    return caught_up(spark, jobs.stream_edits(land(spark, sf, rows, "postings"), "wave"))
+
+
+@query("stream_edits", _EDITS)
+def stream_edits(spark, sf):
+    return caught_up(spark, jobs.stream_edits(land(spark, sf, _edited(spark, sf), "postings"), "wave"))
+
+
+@query("stream_edits_stored", f"SELECT source, external_id, inserted, updated, unchanged FROM ({_EDITS})")
+def stream_edits_stored(spark, sf):
+    """The same with the state in a table and a micro-batch summed up first."""
+    dest = scratch(spark)
+    jobs.stream_edits_stored(land(spark, sf, _edited(spark, sf), "postings"), dest, f"{dest}/check", ["wave"], chunk=F.col("wave")).awaitTermination()
+    return spark.read.parquet(f"{dest}/edits/*").select("source", "external_id", "inserted", "updated", "unchanged")
