@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "sub", "sup", "time", "tt", "u", "var"}
 #: Elements that are never main text.
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "datalist", "dialog", "template",
-           "object", "svg", "math", "canvas", "audio", "video", "map", "applet", "frameset"} | RAW
+           "object", "svg", "canvas", "audio", "video", "map", "applet", "frameset"} | RAW
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert",
                  "menu", "menubar", "toolbar"}
 #: Words of a class or an id that name what surrounds a text, and what readers add to it.
@@ -81,16 +82,20 @@ class _Ends:
 
 
 class _Node:
-    __slots__ = ("tag", "up", "drop", "holds", "body", "hash", "text", "main")
+    __slots__ = ("tag", "up", "drop", "holds", "body", "hash", "text", "main", "kept")
 
     def __init__(self, tag: str, up: _Node | None, drop: int):
         self.tag, self.up, self.drop = tag, up, drop
-        self.holds, self.text, self.body, self.hash = False, False, xxhash.xxh64(tag), 0
+        self.holds, self.text, self.body, self.hash, self.kept = False, False, xxhash.xxh64(tag), 0, None
         self.main = tag in MAIN or bool(up and up.main)
 
 
-def _dropped(tag: str, attributes: str) -> int:
-    """0: kept; 1: surroundings by name, kept after all if it holds the article; 2: never kept."""
+def _dropped(tag: str, attributes: str, main: bool) -> int:
+    """0: kept; 1: surroundings by name, kept after all if it holds the article; 2: never kept.
+
+    Inside the declared article (``main``) running text goes by no name, and other elements by a whole name alone, as
+    ``ad``, but not ``ad-free``.
+    """
     if tag in DROPPED:
         return 2
     if not attributes.strip(" /"):
@@ -100,9 +105,11 @@ def _dropped(tag: str, attributes: str) -> int:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id") and tag not in ("html", "body"):
             words = {w.lower() for w in _NAME.findall(value)}
+            if main and tag in PROSE:
+                continue
             if words & COMMENTS:
                 return 2
-            if words & SURROUNDINGS and tag not in MAIN:
+            if tag not in MAIN and SURROUNDINGS & ({w.lower() for w in value.split()} if main else words):
                 found = 1
         elif (name == "role" and value.lower() in DROPPED_ROLES) or name == "hidden" or (
                 name == "aria-hidden" and value.lower() == "true") or (
@@ -111,12 +118,22 @@ def _dropped(tag: str, attributes: str) -> int:
     return found
 
 
-def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """The blocks of text that markup leaves, and the hashes of all element subtrees.
+class Blocks(NamedTuple):
+    """The ``texts`` that markup leaves, each with the number of the innermost subtree around it that a template may take away (``inside``, -1: none); of
+    these subtrees their hashes (``marks``) and which one is around each (``around``, a smaller number); and ``trees``, the hashes of all on the page.
 
-    Each block comes with the hashes of the subtrees around it that a template may take away: not those that
-    hold the article or the main part or are prose in it.
+    A template takes no subtree that holds the article or the main part, or is prose in it.
     """
+
+    texts: list[str]
+    inside: list[int]
+    marks: list[int]
+    around: list[int]
+    trees: list[int]
+
+
+def blocks(page: str) -> Blocks:
+    """What is left of a page, at a cost that grows with its length, however deep it is."""
     page = page or ""
     root = _Node("", None, 0)
     stack, out, open_text = [root], [], []
@@ -181,7 +198,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             elif name in ("p", "br"):
                 flush()
             continue
-        drop = _dropped(name, attributes)
+        drop = _dropped(name, attributes, stack[-1].main)
         if name in VOID:
             if name in ("br", "hr"):
                 flush()
@@ -204,19 +221,34 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     close(1)
     flush()
     declared = root.holds
-    kept = []
+    texts, inside, marks, around = [], [], [], []
+    root.kept = (True, False, -1)  # of a node: whether it stays, whether it is in the main part, its innermost removable subtree
     for text, node in out:
-        around, up, main = [], node, False
-        while up:
-            if up.drop == 2 or (up.drop == 1 and not up.holds):
-                break
-            main = main or up.tag in MAIN
-            if up.up and _removable(up):
-                around.append(up.hash)
-            up = up.up
-        if not up and (main or not declared):
-            kept.append((text, around))
-    return kept, list({n.hash for n in tags if n.text and _removable(n)})
+        path = []
+        while node.kept is None:
+            path.append(node)
+            node = node.up
+        stays, main, near = node.kept
+        for node in reversed(path):
+            stays = stays and not (node.drop == 2 or (node.drop == 1 and not node.holds))
+            main = main or node.tag in MAIN
+            if stays and _removable(node):
+                marks.append(node.hash)
+                around.append(near)
+                near = len(marks) - 1
+            node.kept = (stays, main, near)
+        if stays and (main or not declared):
+            texts.append(text)
+            inside.append(near)
+    return Blocks(texts, inside, marks, around, list({n.hash for n in tags if n.text and _removable(n)}))
+
+
+def without(page: Blocks, gone: set[int]) -> list[str]:
+    """The texts that lie in none of the subtrees ``gone``."""
+    lost = []
+    for mark, up in zip(page.marks, page.around, strict=True):
+        lost.append(mark in gone or (up >= 0 and lost[up]))
+    return [t for t, i in zip(page.texts, page.inside, strict=True) if i < 0 or not lost[i]]
 
 
 def _removable(node: _Node) -> bool:
@@ -238,12 +270,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     repeated rows. Returns ``page`` (the key), ``url``, ``text``. Columns but those named are not read.
     """
     wanted = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.col(page).alias("html"))
-    block = T.StructType([T.StructField("text", T.StringType()), T.StructField("around", T.ArrayType(T.LongType()))])
+    lists = {"texts": T.StringType(), "inside": T.IntegerType(), "marks": T.LongType(), "around": T.IntegerType()}
     schema = T.StructType([
         wanted.schema["page"], wanted.schema["url"], T.StructField("row", T.LongType()), T.StructField("host", T.StringType()),
-        T.StructField("digest", T.LongType()), T.StructField("trees", T.ArrayType(T.LongType())),
-        T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(block))])
-    shape = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+        T.StructField("digest", T.LongType()), T.StructField("trees", T.ArrayType(T.LongType())), T.StructField("text", T.StringType()),
+        *[T.StructField(n, T.ArrayType(kind)) for n, kind in lists.items()]])
+    arrow = {"texts": pa.string(), "inside": pa.int32(), "marks": pa.int64(), "around": pa.int32()}
 
     def cut(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -252,26 +284,30 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 part = rows.slice(start, 500)
                 htmls = part.column("html").to_pylist()
                 found = [blocks(p) for p in htmls]
-                left = [any(around for _, around in kept) for kept, _ in found]
+                left = [any(i >= 0 for i in f.inside) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page"), part.column("url"), pa.array(range(row, row + len(found)), pa.int64()),
                      pa.array([_host(u) for u in part.column("url").to_pylist()]),
                      pa.array([xxhash.xxh64_intdigest(p or "") - (1 << 63) for p in htmls], pa.int64()),
-                     pa.array([trees for _, trees in found], pa.list_(pa.int64())),
-                     pa.array([None if more else " ".join(t for t, _ in kept) for (kept, _), more in zip(found, left, strict=True)], pa.string()),
-                     pa.array([[{"text": t, "around": a} for t, a in kept] if more else None
-                               for (kept, _), more in zip(found, left, strict=True)], shape)], names=schema.names)
+                     pa.array([f.trees for f in found], pa.list_(pa.int64())),
+                     pa.array([None if more else " ".join(f.texts) for f, more in zip(found, left, strict=True)], pa.string()),
+                     *[pa.array([getattr(f, n) if more else None for f, more in zip(found, left, strict=True)], pa.list_(kind))
+                       for n, kind in arrow.items()]], names=schema.names)
                 row += len(found)
 
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array, inside: pa.Array, marks: pa.Array, around: pa.Array, gone: pa.Array) -> pa.Array:
+        pages_ = zip(*(c.to_pylist() for c in (texts, inside, marks, around, gone)), strict=True)
+        return pa.array([" ".join(without(Blocks(t, i, m, a, []), set(g or ()))) for t, i, m, a, g in pages_], pa.string())
+
     parsed = stored(wanted.mapInArrow(cut, schema), "pages")
     recurring = (parsed.select("host", "digest", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count_distinct("digest").alias("n"))
                  .where(F.col("n") >= min_pages).select("host", "tree"))
-    open_pages = parsed.where("blocks is not null")
-    inside = open_pages.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("tree"))
+    open_pages = parsed.where("texts is not null")
+    inside = open_pages.select("row", "host", F.explode(F.array_distinct("marks")).alias("tree"))
     gone = inside.join(recurring, ["host", "tree"], "left_semi").groupBy("row").agg(F.collect_set("tree").alias("gone"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    cleaned = open_pages.join(gone, "row", "left").select("page", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
-    return parsed.where("blocks is null").select("page", "url", "text").unionByName(cleaned)
+    rest = open_pages.join(gone, "row", "left").select("page", "url", cleaned(*lists, "gone").alias("text"))
+    return parsed.where("texts is null").select("page", "url", "text").unionByName(rest)
 
 
 def _host(url: str | None) -> str:

@@ -1,14 +1,15 @@
 """Main text by markup rules on single pages, and template removal across pages of a host."""
 
+import random
 import time
 
 import pytest
 
-from postlake.llm.pages import blocks, extract
+from postlake.llm.pages import blocks, extract, without
 
 
 def _text(page):
-    return " ".join(t for t, _ in blocks(page)[0])
+    return " ".join(blocks(page).texts)
 
 
 @pytest.mark.parametrize(("page", "want"), [
@@ -22,12 +23,59 @@ def _text(page):
     ("<article>one<section id='comments'><article class='comment'>two</article></section></article>", "one"),
     ("<article>x<header>h</header>y</article>", "x y"), ("a < b and c > d", "a < b and c > d"),
     ("<p hidden>no</p><p style='display: none'>no</p><p>yes</p>", "yes"), ("<p title=\"a>b\">t</p>", "t"),
+    ("<article><h2 class='section-header'>Results</h2><p class='notice-period'>Three months</p><p>Body</p><math>x = 2</math>"
+     "<div class='related-work'>Earlier work</div><div class='ad'>buy</div><p class='notice'>yes</p></article>", "Results Three months Body x = 2 Earlier work yes"),
     ("<p>open <b", "open <b"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
 ])
 def test_markup(page, want):
     assert _text(page) == want
 
 
+def test_deep_pages_cost_no_more_than_long_ones():
+    """Text at every depth: what is kept of a page, and the time it takes, grow with its length alone."""
+    times = []
+    for n in (1_000, 16_000):
+        start = time.process_time()
+        page = blocks("<div>x" * n)
+        times.append(time.process_time() - start)
+        assert len(page.texts) == len(page.marks) == len(page.around) == n
+    assert times[1] < 40 * times[0] + 1
+    assert without(page, {page.marks[5]}) == ["x"] * 5 and without(page, set()) == page.texts
+
+
+def _slow(rows, least):
+    """The same, page by page: every subtree around a block is looked up among those counted on the host."""
+    counts, out = {}, []
+    for host in {h for h, _ in rows}:
+        for page in {p for h, p in rows if h == host}:
+            for tree in set(blocks(page).trees):
+                counts[host, tree] = counts.get((host, tree), 0) + 1
+    for host, html in rows:
+        page, kept = blocks(html), []
+        for text, i in zip(page.texts, page.inside, strict=True):
+            chain = []
+            while i >= 0:
+                chain.append(page.marks[i])
+                i = page.around[i]
+            if all(counts[host, tree] < least for tree in chain):
+                kept.append(text)
+        out.append(" ".join(kept))
+    return out
+
+
+def test_templates_equal_a_page_by_page_count(spark):
+    rng = random.Random(9)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else f"<p>{rng.choice('abcdefgh')}</p>" for _ in range(rng.randrange(1, 4)))
+        return f"<{(tag := rng.choice(['div', 'section', 'ul']))}>{inner}</{tag}>"
+    rows = [(f"h{rng.randrange(3)}", rng.choice(["", "<article>{}</article>"]).format("") + tree(3)) for _ in range(120)]
+    rows += [(h, f"<article>{p}<p>own {i}</p></article>") for i, (h, p) in enumerate(rows[:40])]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    got = [r.text for r in extract(pages, min_pages=4).orderBy("page").collect()]
+    assert got == _slow(rows, 4) and got != [" ".join(blocks(p).texts) for _, p in rows]
+
+
 def test_long_and_deep_pages():
     assert len(_text("<article>" + "<p>word &amp; " * 50_000)) == 50_000 * 7 - 1
     assert _text("<div>" * 20_000 + "x") == "x"
