@@ -210,16 +210,21 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     nodes = stored(found.select(F.col("row").alias("node"), "unit").join(classes.drop("digest"), "node"), "nodes")
     looked = _looked_up(nodes)
     heads = looked.groupBy("cell").agg(F.min(F.when(F.col("home"), F.col("node"))).alias("head"), F.min("node").alias("_a"), F.max("node").alias("_b"))
-    shared = stored(looked.join(heads.where("_a <> _b and head is not null").select("cell", "head"), "cell"), "shared-cells")
+    # Written down, so that a cell with many vectors can be split where it is joined; so below.
+    heads = stored(heads.where("_a <> _b and head is not null").select("cell", "head"), "heads")
+    shared = stored(looked.join(heads, "cell"), "shared-cells")
     pairs = shared.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     links = stored(_verified(pairs, nodes, least), "vector-links")
     labels = components(links)
 
     placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("cell", "node", "home", "component")
+    placed = stored(placed, "placed")
     mixed = placed.groupBy("cell").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("cell")
-    rest = stored(placed.join(mixed, "cell", "left_semi"), "mixed-cells")
+    rest = stored(placed.join(stored(mixed, "mixed"), "cell", "left_semi"), "mixed-cells")
     at_home = rest.where("home").select("cell", F.col("node").alias("_node"), F.col("component").alias("_component"))
-    crossed = rest.join(at_home, "cell").where("component <> _component").select(
+    # Components meet first, so that members of one never do, however many a cell holds.
+    meeting = rest.select("cell", "component").distinct().join(at_home.select("cell", "_component").distinct(), "cell").where("component <> _component")
+    crossed = rest.join(stored(meeting, "meeting"), ["cell", "component"]).join(at_home, ["cell", "_component"]).select(
         F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
     more = stored(_verified(crossed, nodes, least), "late-vector-links")
     if not more.isEmpty():
