@@ -66,7 +66,7 @@ def _raw(owner, term, n, weights, factors, bias):
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text",
-        label: str = "toxic", per_class: int = 15_000, n_terms: int = 2048, n_frequent: int = 1024, rank: int = 4, rounds: int = 200,
+        label: str = "toxic", per_class: int = 15_000, n_terms: int = 2048, n_frequent: int = 512, rank: int = 4, rounds: int = 200,
         least_ratio: float = 8.0, least_pair: float = 25.0) -> Model:
     """Learn from labelled documents for which ``learn`` (a condition over ``doc``, their key) holds.
 
@@ -138,31 +138,31 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     label = rows["label"].combine_chunks().to_numpy()
     runs = rows["terms"].combine_chunks()
     owner, term = np.repeat(np.arange(len(label)), runs.value_lengths().to_numpy()), runs.flatten().to_numpy()
-    keep = np.isin(chosen, telling) | _paired(owner, term, label, len(chosen), least_pair)
+    keep = np.isin(chosen, telling)
+    keep[_paired(owner, term, label, keep, least_pair)] = True
     number, own = np.cumsum(keep) - 1, keep[term]
     kept = Model.of(chosen[keep], np.zeros(keep.sum()), np.zeros((keep.sum(), rank)), 0.0)
     return _fit(kept, owner[own], number[term[own]], label, rank, rounds, np.log(toxic / clean) - np.log(n1 / n0))
 
 
-def _paired(owner, term, label, m: int, least: float, block: int = 1000) -> np.ndarray:
-    """Which terms make a pair that tells the classes apart by ``least`` more than its two terms do."""
-    together = np.zeros((2, m, m), np.float32)
+def _paired(owner, term, label, telling, least: float, block: int = 2000) -> np.ndarray:
+    """Which terms that are not ``telling`` make a pair, with any term, that tells the classes apart by ``least`` more than its two
+    terms do. Texts, as ``owner`` numbers them, are in order."""
+    m, others = len(telling), np.flatnonzero(~telling)
+    together = np.zeros((2, len(others), m), np.float32)
     for start in range(0, len(label), block):
-        own = (owner >= start) & (owner < start + block)
-        holds = np.zeros((block, m), np.float32)
-        holds[owner[own] - start, term[own]] = 1
+        first, end = np.searchsorted(owner, [start, start + block])
+        holds = np.zeros((min(block, len(label) - start), m), np.float32)
+        holds[owner[first:end] - start, term[first:end]] = 1
         ones = label[start:start + block] == 1
-        for k, part in enumerate((holds[:len(ones)][~ones], holds[:len(ones)][ones])):
-            together[k] += part.T @ part
+        for k, part in enumerate((holds[~ones], holds[ones])):
+            together[k] += part[:, others].T @ part
     sizes = np.array([(label == 0).sum(), (label == 1).sum()], np.float64) + 1
-    found = np.zeros(m, bool)
-    alone = _ratio(together[:, np.arange(m), np.arange(m)], sizes)
-    for start in range(0, m, block):
-        rows = np.arange(start, min(start + block, m))
-        more = _ratio(together[:, rows], sizes) - alone[rows][:, None] - alone
-        more[np.arange(len(rows)), rows] = 0
-        found[rows] |= (more >= least).any(1)
-    return found
+    of = label[owner] == 1
+    alone = _ratio(np.stack([np.bincount(term[~of], minlength=m), np.bincount(term[of], minlength=m)]), sizes)
+    more = _ratio(together, sizes) - alone[others][:, None] - alone
+    more[np.arange(len(others)), others] = 0
+    return others[(more >= least).any(1)]
 
 
 def _ratio(counts, sizes):
