@@ -4,8 +4,12 @@ A version counts as complete once its ``_SUCCESS`` file exists, which Spark
 writes after all data, so a lost job leaves no half-written table to read.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from postlake.sources import files
+
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
     jvm = spark._jvm
@@ -47,6 +51,35 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/v={version or done[-1]:010d}")
 
 
+def write_together(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+    """Write tables that belong together, as roles and runs do, as one version: a small file that names the folders of
+    all appears after the last of them, or not at all. Returns its number; FileExistsError if another writer took it first."""
+    known = _together(spark, root)
+    number = known[-1] + 1 if known else 1
+    folders = {}
+    for name, df in tables.items():
+        folders[name] = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{root}/{folders[name]}")
+    files.write_json(spark, f"{root}/together/{number:010d}.json", folders)
+    return number
+
+
+def read_together(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame] | None:
+    """All tables of one version, the last by default; None when there is none."""
+    known = _together(spark, root)
+    if version is None and not known:
+        return None
+    if version is not None and version not in known:
+        raise LookupError(f"{root} has no version {version}")
+    folders = files.read_json(spark, f"{root}/together/{version or known[-1]:010d}.json")
+    return {name: spark.read.parquet(f"{root}/{folder}") for name, folder in folders.items()}
+
+
+def _together(spark: SparkSession, root: str) -> list[int]:
+    found = [n for n in files.names(spark, f"{root}/together") if n.endswith(".json") and not n.startswith(".")]
+    return [int(n.removesuffix(".json")) for n in found]
+
+
 def write_role(spark: SparkSession, root: str, role: str) -> None:
     """Declare whether a data set is 'live' or a frozen 'eval' copy."""
     if role not in ("live", "eval"):

@@ -7,7 +7,7 @@ from postlake.plans import all_queries
 from postlake.schemas import RAW, ROW
 from postlake.sources import buckets, files, load
 from postlake.sources.buckets import ConflictError, forget, grow, merge, read_table, replace_rows, version
-from postlake.sources.snapshots import write_role
+from postlake.sources.snapshots import read_together, write_role, write_together
 
 AS_OF = "2026-08-20"
 
@@ -115,6 +115,22 @@ def test_a_small_load_rewrites_few_bounded_buckets(spark, tmp_path):
     assert _merge(spark, root, [(1, "later")], "3")[2]["updated"] == 1
 
 
+def test_tables_written_together_appear_together(spark, tmp_path, stop):
+    root = str(tmp_path / "t")
+    assert read_together(spark, root) is None
+    assert write_together(spark, root, {"roles": spark.range(3), "runs": spark.range(1)}) == 1
+    go_on = stop("/together/")
+    with pytest.raises(Stopped):
+        write_together(spark, root, {"roles": spark.range(30), "runs": spark.range(10)})
+    go_on()
+    assert {n: t.count() for n, t in read_together(spark, root).items()} == {"roles": 3, "runs": 1}
+    assert write_together(spark, root, {"roles": spark.range(30), "runs": spark.range(10)}) == 2
+    assert {n: t.count() for n, t in read_together(spark, root).items()} == {"roles": 30, "runs": 10}
+    assert read_together(spark, root, 1)["roles"].count() == 3
+    with pytest.raises(LookupError):
+        read_together(spark, root, 9)
+
+
 def test_nothing_to_load(spark, tmp_path):
     root = str(tmp_path / "t")
     assert read_table(spark, root) is None
