@@ -16,6 +16,11 @@ from postlake.session import cut_lineage
 COSTS = ("tokens_in", "tokens_out", "requests")
 
 
+def replies_to(postings: DataFrame, replies: DataFrame, key="raw_posting_id") -> DataFrame:
+    """Replies to these postings. Keep this ahead of the checks: replies to others reach no outcome, and a check costs far more than a key."""
+    return replies.join(postings.select(key).distinct(), key, "left_semi")
+
+
 def outcomes_of(adapted: DataFrame, checked: DataFrame) -> DataFrame:
     """Postings that were attempted, with what became of them, and the checked ``reply`` behind it.
 
@@ -65,9 +70,12 @@ def process(raw: DataFrame, runs: DataFrame, roles: DataFrame, replies: DataFram
     ``replies`` is a table of replies, or a function from the adapted postings that are to be asked to one, as
     ``partial(score, load=..., name=...)``; it sees no posting that is skipped or cannot be read.
     """
-    adapted = adapt_boards(pending(raw, runs, sources, limit, order=order))
+    work = pending(raw, runs, sources, limit, order=order)
     if callable(replies):
+        adapted = cut_lineage(adapt_boards(work), "adapted")  # read by the model, and then beside its replies
         replies = replies(adapted.filter("prefilter IS NULL AND adapter_error IS NULL"))
+    else:
+        adapted, replies = adapt_boards(work), replies_to(work, replies)
     outcomes, good, bad = settle(adapted, validate_replies(replies), vocabularies, totals)
     next_roles, next_runs = persist(roles, runs, good, outcomes, as_of)
     return next_roles, next_runs, bad

@@ -27,8 +27,10 @@ lv AS (
   SELECT *, readable AND doc_type = 'posting' AS posting, 1000.0::DOUBLE * floor(price / 1000) AS amount FROM chk)"""
 
 
-def checked(spark, sf):
-    return replies.validate_replies(stand_in_replies(spark, sf))
+def checked(spark, sf, postings=None):
+    """Replies, all or those to some postings, after the checks."""
+    given = stand_in_replies(spark, sf)
+    return replies.validate_replies(given if postings is None else extraction.replies_to(postings, given))
 
 
 @query("validated_replies", f"""{_LEVELS}
@@ -141,7 +143,7 @@ att2 AS (
 
 def outcomes(spark, sf):
     raw = board_rows(spark, sf).withColumnRenamed("id", "raw_posting_id")
-    return extraction.outcomes_of(adapt_boards(raw), checked(spark, sf))
+    return extraction.outcomes_of(adapt_boards(raw), checked(spark, sf, raw))
 
 
 @query("outcomes", f"{_ATTEMPTS} SELECT raw_posting_id, status, model, error, doc_type, role_count FROM att2")
@@ -172,7 +174,7 @@ def _old_roles(spark, sf):
 def _persisted(spark, sf, broken=False):
     """(roles, runs, rejected roles) after the replies; with ``broken`` some salary bands are upside down."""
     raw = board_rows(spark, sf).withColumnRenamed("id", "raw_posting_id")
-    read = checked(spark, sf)
+    read = checked(spark, sf, raw)
     if broken:
         read = read.withColumn("salary_min", F.when(F.col("company").endswith("7"), "$9999k").otherwise(F.col("salary_min")))
     outcomes, good, bad = extraction.settle(adapt_boards(raw), read)
@@ -309,12 +311,14 @@ def observed_totals(spark, sf):
 
 @query("running_totals", _TOTALS)
 def running_totals(spark, sf):
-    """The same of a stream in several batches, summed up while it runs."""
+    """The same of a stream in three batches or more, summed up while it runs."""
     folder = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
     raw = board_rows(spark, sf).withColumnRenamed("id", "raw_posting_id").select("raw_posting_id", "source", "external_id", "raw_text")
-    raw.repartition(3).write.parquet(f"{folder}/postings")
+    # As many files as cores at least, so that a batch, a third of them, is written and read by many tasks.
+    files = 3 * -(-spark.sparkContext.defaultParallelism // 3)
+    raw.repartition(files, "raw_posting_id").write.parquet(f"{folder}/postings")
     told = RunningTotals("run")
-    stream = jobs.read_rows(spark, f"{folder}/postings", raw.schema, 1)
+    stream = jobs.read_rows(spark, f"{folder}/postings", raw.schema, files // 3)
     jobs.stream_outcomes(stream, _ask, folder, f"{folder}/state", told).awaitTermination()
     return spark.createDataFrame([told.sums], _TOTALS_SCHEMA)
 
