@@ -3,11 +3,12 @@
 import glob
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.operators import descriptions, extraction, upsert
-from postlake.plans import extract, landing, reports, search
+from postlake.operators import descriptions, extraction, upsert, vectors
+from postlake.plans import extract, landing, reports
 from postlake.schemas import ROLES, RUNS
 
 
@@ -104,10 +105,16 @@ def test_postings_are_listed_once_for_all_boards(spark, monkeypatch):
     assert len(calls) == 1 and got.count() == 480
 
 
-def test_the_exact_rows_are_found_once_for_all_recalls(spark, monkeypatch):
-    vec = spark.createDataFrame([(i, [float(i + 1), float((i * 7) % 11)], 0) for i in range(40)], "vec_id long, embedding array<double>, label int")
-    exacts, recall = [], search.vectors.recall
-    monkeypatch.setattr(search, "table", lambda *_: vec)
-    monkeypatch.setattr(search.vectors, "recall", lambda found, exact: exacts.append(exact) or recall(found, exact))
-    assert search.vector_recall(spark, "").count() == 3
-    assert len({e.stored_at for e in exacts}) == 1
+def test_few_rows_are_rounded_and_ranked(monkeypatch):
+    rng = np.random.default_rng(3)
+    corpus, queries, rounded = rng.normal(size=(1000, 4)), rng.normal(size=(30, 4)), []
+    corpus[500:520] = corpus[7]  # ties go to the smaller id
+    corpus, queries = vectors._unit(corpus), vectors._unit([*queries, corpus[7]])
+    plain = np.round(queries @ corpus.T, 9)
+    real = np.round
+    monkeypatch.setattr(vectors.np, "round", lambda x, n: rounded.append(x.size) or real(x, n))
+    found = vectors._score(queries, corpus, np.arange(1000), 5)
+    keep = vectors._best(*found, 5)
+    want = [(q, float(-s), i) for q, row in enumerate(plain) for s, i in sorted(zip(-row, range(1000)))[:5]]
+    assert [(int(found[0][j]), float(found[1][j]), int(found[2][j])) for j in keep] == want
+    assert sum(rounded) < plain.size / 4
