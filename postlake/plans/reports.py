@@ -103,6 +103,7 @@ def _sketched(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("raw_posting_id"), "o_custkey",
                                                F.trunc("o_orderdate", "MM").alias("month"))
     rows = stored_roles(spark, sf).select("raw_posting_id", F.explode("stack").alias("skill"), "salary_currency", "salary_min").join(orders, "raw_posting_id")
+    rows = cut_lineage(rows, "dated-skills")  # read by both loads and by the exact counts
     by = ["month", "skill", "salary_currency"]
     loads = [cut_lineage(sketches.rollup_sketches(rows.filter(part), by, "o_custkey", "salary_min")) for part in ("raw_posting_id % 2 = 0", "raw_posting_id % 2 = 1")]
     return rows, cut_lineage(sketches.merge_sketches(loads[0], by, loads[1])), loads[0]
