@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,6 +23,8 @@ SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LONG_RUN = 100_000
 _RUN = re.compile(rf"(?<!{SPACES}){SPACES}{{{LONG_RUN},}}+(?!\Z)")
 MERGED = 1 << 62
+#: Finished windows that leave together: 2 MB of ids at 1024 a window.
+SENT = 500
 
 
 @lru_cache(maxsize=2)
@@ -143,6 +144,10 @@ def pack(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", s
                            T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     held = T.StructType([*schema, T.StructField("bin", T.LongType())])
 
+    def arrays(windows: list, first: int, shape: pa.DataType) -> list[pa.Array]:
+        kinds = (shape, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return [pa.array(values, of) for values, of in zip(_rows(windows, first).values(), kinds, strict=True)]
+
     def pack_partition(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer, number = Packer(size, open_windows), part << 40
@@ -150,34 +155,31 @@ def pack(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", s
 
         def batch(windows, bin_id):
             nonlocal number
-            out = _rows(windows, number)
+            made = arrays(windows, number, shape)
             number += len(windows)
-            n = len(out["doc"])
-            arrays = [pa.array(out["doc"], shape), *(pa.array(out[c], t) for c, t in (
-                ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
-                ("sequence_id", pa.int64()), ("offset", pa.int64()))), pa.array([bin_id] * n, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, names=held.names)
+            return pa.RecordBatch.from_arrays([*made, pa.array([bin_id] * len(made[0]), pa.int64())], names=held.names)
 
         for got in rows:
             shape = got.column("doc").type
             for doc, words in zip(got.column("doc").to_pylist(), got.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(words or "", ranks, added), np.uint32(end_id)).astype("<u4")
                 packer.put(doc, 0, ids, len(ids))
-                if len(packer.sent) >= 2000:
+                if len(packer.sent) >= SENT:
                     yield batch(packer.sent, None)
                     packer.sent = []
         if shape is not None:
             yield batch(packer.sent, None)
             yield batch(packer.rest(), part // merge)
 
-    def pack_rest(key_row: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        packer = Packer(size, open_windows)
-        for row in rows.sort_values(["sequence_id", "offset"]).itertuples():
-            packer.put(row.doc, row.start, np.frombuffer(row.ids, "<u4"), row.doc_tokens)
+    def pack_rest(bin_id: tuple, rows: pa.Table) -> pa.Table:
+        packer, shape = Packer(size, open_windows), rows.schema.field("doc").type
+        rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        for doc, start, ids, total in zip(*(rows.column(c).to_pylist() for c in ("doc", "start", "ids", "doc_tokens")), strict=True):
+            packer.put(doc, start, np.frombuffer(ids, "<u4"), total)
         packer.close()
-        return pd.DataFrame(_rows(packer.sent, MERGED | int(key_row[0]) << 24))
+        return pa.table(arrays(packer.sent, MERGED | bin_id[0].as_py() << 24, shape), schema.names)
 
     packed = stored(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(pack_partition, held),
                     "packed")
-    rest = packed.where("bin is not null").groupBy("bin").applyInPandas(pack_rest, schema)
+    rest = packed.where("bin is not null").groupBy("bin").applyInArrow(pack_rest, schema)
     return packed.where("bin is null").drop("bin").unionByName(rest)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from postlake.llm.shared import batches, discard, parts, stored
 from postlake.llm.words import Words, grams, long_grams, window_least, window_minima, words
+from postlake.operators.steps import once
 
 #: Words by which suffixes are sorted first; one is kept where they are the least of all within a window.
 GRAM = 10
@@ -218,7 +219,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
                                           names=["_text", "_words", "_cut"])
 
-    done = based.join(decisions, "id", "left").select(
-        "row.*", F.when(F.col("text").isNotNull(), F.lit(True)).alias("_known"), without(F.col("text").cast("binary"), "starts").alias("_done"))
+    # Made one time: a condition on the result would otherwise run all texts through Python again, in a second worker beside the first.
+    found = based.join(decisions, "id", "left").select("row", F.col("text").cast("binary").alias("text"), "starts")
+    done = once(found, {"_done": without("text", "starts")}).select("row.*", F.when(F.col("text").isNotNull(), F.lit(True)).alias("_known"), "_done")
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("_text", "_words", "_cut")]
     return done.select(*names, F.when(F.col("_known"), F.col("_done._text")).alias("_text"), "_done._words", "_done._cut")

@@ -82,3 +82,13 @@ def test_long_runs_of_white_space(text):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     want = Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).ids
     assert np.array_equal(encode(text, RANKS, added_tokens(vocabulary)), want)
+
+
+def test_workers_need_no_pandas(spark):
+    """The module brings none, and the leftovers of neighbouring partitions are packed from Arrow; a key beside a null one keeps all its digits."""
+    import postlake.llm.packing as module
+
+    docs = spark.createDataFrame([(None, "a b"), (2**53 + 1, "c d")], "doc_id long, text string").coalesce(1)
+    packed = pack(docs, RANKS)
+    assert "InPandas" not in packed._jdf.queryExecution().executedPlan().toString() and not hasattr(module, "pd")
+    assert {r.doc for r in packed.collect()} == {None, 2**53 + 1}

@@ -103,3 +103,11 @@ def test_neighbours_across_ranges(spark, ranges):
     sizes = {k: sum(r[0] == k for r in order) for k in {r[0] for r in order}}
     assert {r[:3] for r in got} == {r for r in order if sizes[r[0]] > 1}
     assert {r[:3] for r in got if r[3]} == {r for before, r in zip(order, order[1:], strict=False) if before[0] == r[0]}
+
+
+def test_condition_on_the_cut_runs_texts_through_python_once(spark):
+    passage = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, passage), (2, f"x y {passage}"), (3, None), (4, passage)], "doc_id long, text string")
+    kept = remove_repeats(docs, least_words=50).where("_cut = 0 or _cut < _words")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {(r.doc_id, r._text, r._words, r._cut) for r in kept.collect()} == {(1, passage, 50, 0), (2, "x y ", 52, 50), (3, None, 0, 0)}
