@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postlake import vocab
 from postlake.functions import values
 from postlake.functions.times import instant
+from postlake.operators.steps import once
 from postlake.schemas import ROLES, RUNS, VERBATIM_ROLE
 
 RESULT = ["raw_posting_id", "role_index", "company", "title", "location", "seniority",
@@ -38,7 +39,7 @@ def fill_down(df: DataFrame, vocabularies=None) -> DataFrame:
         return F.coalesce(F.col("role")[name], F.col(name))
 
     df = df.withColumns({f"_{c}": take(f"salary_{c}") for c in ("min", "max", "period", "currency")})
-    df = df.withColumns({
+    df = once(df, {
         "_low": values.monthly("_min", "_period", v.get("periods")),
         "_high": values.monthly("_max", "_period", v.get("periods")),
     })

@@ -101,3 +101,25 @@ def test_few_rows_are_rounded_and_ranked(monkeypatch):
     want = [(q, float(-s), i) for q, row in enumerate(plain) for s, i in sorted(zip(-row, range(1000)))[:5]]
     assert [(int(found[0][j]), float(found[1][j]), int(found[2][j])) for j in keep] == want
     assert sum(rounded) < plain.size / 4
+
+
+def test_once_makes_its_columns_below_the_generator(spark):
+    """A generator that holds a lambda would run without compiled code; a condition above still reads what was made."""
+    from postlake.operators.steps import once
+
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "id long, items array<string>")
+    made = once(df, {"n": F.size(F.filter("items", lambda x: x != "a"))}).where("n = 1")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    generate = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(generate) == 1 and "lambda" not in generate[0] and plan.count("lambdafunction") == 1
+    assert [tuple(r) for r in made.collect()] == [(1, ["a", "b"], 1)]
+
+
+def test_salary_limits_are_not_read_again_by_a_condition(spark):
+    """A condition on a filled-down salary reads the amounts that were made once."""
+    from postlake.operators.roles import fan_out
+    from postlake.schemas import VERBATIM
+
+    reply = spark.createDataFrame([], VERBATIM).withColumn("raw_posting_id", F.lit(1))
+    before = fan_out(reply)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
+    assert fan_out(reply).where("salary_max IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == before
