@@ -35,7 +35,10 @@ def _col(c) -> Column:
 
 def strip(c) -> Column:
     """Trim every kind of Unicode space from both ends."""
-    return F.btrim(_col(c), F.lit(_SPACES))
+    c = _col(c)
+    # Trimming looks at every character; most texts show by their ends alone that there is nothing to trim.
+    trimmed = F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
+    return F.when(trimmed, c).otherwise(F.btrim(c, F.lit(_SPACES)))
 
 
 def collapse(c) -> Column:

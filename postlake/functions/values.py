@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postlake import vocab
 from postlake.functions.text import (
-    CYRILLIC, HSPACE, SPACE, _col, blank_as_null, collapse, lookup, strip,
+    CYRILLIC, SPACE, _H, _col, blank_as_null, collapse, lookup, strip,
 )
 
 # Decimal numbers only: no 'inf', 'nan' or typed literals such as '1d'.
@@ -19,10 +19,11 @@ def number(c) -> Column:
 
     A number too large for a double comes out as infinity.
     """
-    text = F.regexp_replace(_col(c).cast("string"), f"[{vocab.CURRENCY_SIGNS},]", "")
-    text = strip(F.regexp_replace(text, f"{HSPACE}+", ""))
+    text = F.regexp_replace(_col(c).cast("string"), rf"[{vocab.CURRENCY_SIGNS},{_H}]+", "")
+    text = F.btrim(text, F.lit("\n"))  # the only space that is left
     digits = F.replace(F.regexp_extract(text, _NUMBER, 1), F.lit("_"), F.lit(""))
-    factor = F.coalesce(lookup(vocab.MAGNITUDES, F.regexp_extract(text, _NUMBER, 2)), F.lit(1.0))
+    # Of a text that is a number, the last character is the magnitude or none.
+    factor = F.coalesce(lookup(vocab.MAGNITUDES, F.substring(text, -1, 1)), F.lit(1.0))
     return digits.try_cast("double") * factor
 
 
@@ -101,10 +102,10 @@ def skills(c, aliases=None, stoplist=None) -> Column:
     keys = F.transform(stated, lambda x: F.when(F.lower(x).isin(list(vocab.BLANKS)), None)
                        .when(_plain(x), F.lower(collapse(x)))
                        .otherwise(F.lower(collapse(fold_lookalikes(x)))))
-    known = F.transform(
-        F.filter(keys, lambda k: k.isNotNull() & ~k.isin(list(stoplist))),
-        lambda k: F.coalesce(lookup(aliases, k), F.when(_plain(k), k), F.when(~k.rlike(CYRILLIC), k)))
-    return F.array_distinct(F.filter(known, lambda k: k.isNotNull()))
+    known = F.transform(keys, lambda k: F.when(~k.isin(list(stoplist)), F.coalesce(
+        lookup(aliases, k), F.when(_plain(k), k), F.when(~k.rlike(CYRILLIC), k))))
+    # Without nulls, each once.
+    return F.array_except(known, F.array(F.lit(None).cast("string")))
 
 
 def _plain(c: Column) -> Column:

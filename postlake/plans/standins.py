@@ -136,9 +136,10 @@ def role_rows(spark, sf, with_index=False) -> DataFrame:
         F.lit(None).cast("string").alias("salary_currency"),
         F.create_map(F.lit("title"), F.col("p_name")).alias("source_quotes"))
     index = ["role_index"] if with_index else []
-    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Customers meet the orders before these meet their lines, so that lines are exchanged for their parts only.
+    bought = orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
+    return (lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(part, F.col("p_partkey") == F.col("l_partkey"))
-            .join(customer, F.col("c_custkey") == F.col("o_custkey"))
             .select(F.col("o_orderkey").alias("raw_posting_id"), *index, F.col("c_name").alias("company"),
                     F.col("c_mktsegment").alias("location"), F.lit("Hybrid").alias("remote_policy"),
                     F.lit("full_time").alias("employment_type"), F.array("o_orderpriority").alias("stack"),

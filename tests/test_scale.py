@@ -115,6 +115,19 @@ def test_once_makes_its_columns_below_the_generator(spark):
     assert [tuple(r) for r in made.collect()] == [(1, ["a", "b"], 1)]
 
 
+def test_lines_of_roles_are_exchanged_for_their_parts_only(spark, tmp_path):
+    from postlake.plans.standins import role_rows
+
+    for name, columns in (("orders", "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double, o_orderdate date"),
+                          ("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double,"
+                                       " l_shipdate date, l_linestatus string, l_returnflag string"),
+                          ("part", "p_partkey long, p_name string, p_type string"), ("customer", "c_custkey long, c_name string, c_mktsegment string")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = role_rows(spark, str(tmp_path), True)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 3 and "p_partkey" in joins[0]
+
+
 def test_salary_limits_are_not_read_again_by_a_condition(spark):
     """A condition on a filled-down salary reads the amounts that were made once."""
     from postlake.operators.roles import fan_out
@@ -123,3 +136,16 @@ def test_salary_limits_are_not_read_again_by_a_condition(spark):
     reply = spark.createDataFrame([], VERBATIM).withColumn("raw_posting_id", F.lit(1))
     before = fan_out(reply)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
     assert fan_out(reply).where("salary_max IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == before
+
+
+def test_spaces_at_the_ends_and_numbers(spark):
+    from postlake.functions import text, values
+
+    odd = ["", " ", "a", " a", "a　", "\x85a b\x1c", "é ", "\n7", "a​", "日本", "\x7f", "!", "~ "]
+    rows = spark.createDataFrame(list(enumerate(odd)) + [(99, None)], "id int, t string").withColumn("s", text.strip("t"))
+    assert {r.t: r.s for r in rows.collect()} == {None: None} | {t: t.strip() for t in odd}
+    said = {"$180k": 180000.0, "\n1\n": 1.0, "7\n k": 7000.0, "1 _0": 10.0, "1_0 M": 1e7, "5 к": 5000.0, "k": None, "": None, "1e3": 1000.0, ".5m": 5e5, "5.": 5.0, " € 2,5\xa0": 25.0}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").withColumn("n", values.number("t"))
+    assert {r.t: r.n for r in rows.collect()} == said
+    listed = spark.createDataFrame([(["b", None, "a", "b"],), ([],), (None,)], "t array<string>").withColumn("k", values.skills("t", {"x": "y"}, ("a",)))
+    assert [r.k for r in listed.collect()] == [["b"], [], None]
