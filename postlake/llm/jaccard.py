@@ -236,6 +236,16 @@ def _crossed(unsettled: DataFrame, nodes: DataFrame, docs: DataFrame, percent: i
     return grouped.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
+def _united(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` of components with those united that ``more`` links join; nodes without a label stand for themselves."""
+    ends = {c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}2")) for c in ("a", "b")}
+    across = more.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(
+        F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
+    joined = components(across)
+    named = labels.join(joined.toDF("component", "next"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return stored(named.unionAll(joined.join(labels.select("node"), "node", "left_anti").select("node", "component")), "united")
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Each document with the size of its set of five-word shingles and its component of similar documents.
 
@@ -278,7 +288,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     if not unsettled.isEmpty():
         more = stored(_crossed(unsettled, nodes, wanted, percent), "late-links")
         if not more.isEmpty():
-            labels = components(links.unionAll(more))
+            labels = _united(labels, more)
 
     found = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("least").alias("name"))

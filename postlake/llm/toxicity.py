@@ -59,9 +59,12 @@ def _logistic(x):
 
 
 def _raw(owner, term, n, weights, factors, bias):
-    own = factors[term]
-    sums = np.stack([np.bincount(owner, own[:, f], n) for f in range(own.shape[1])], 1)
-    pairs = (sums ** 2).sum(1) - np.bincount(owner, (own ** 2).sum(1), n)
+    sums, squares = np.zeros((n, factors.shape[1])), np.zeros(len(term))
+    for f in range(factors.shape[1]):  # a factor at a time: all of them take several times the memory
+        own = factors[term, f]
+        sums[:, f] = np.bincount(owner, own, n)
+        squares += own ** 2
+    pairs = (sums ** 2).sum(1) - np.bincount(owner, squares, n)
     return bias + np.bincount(owner, weights[term], n) + pairs / 2, sums
 
 
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     return _fit(kept, owner[own], number[term[own]], label, rank, rounds, np.log(toxic / clean) - np.log(n1 / n0))
 
 
-def _paired(owner, term, label, telling, least: float, block: int = 2000) -> np.ndarray:
+def _paired(owner, term, label, telling, least: float, block: int = 500) -> np.ndarray:
     """Which terms that are not ``telling`` make a pair, with any term, that tells the classes apart by ``least`` more than its two
     terms do. Texts, as ``owner`` numbers them, are in order."""
     m, others = len(telling), np.flatnonzero(~telling)
@@ -160,9 +163,13 @@ def _paired(owner, term, label, telling, least: float, block: int = 2000) -> np.
     sizes = np.array([(label == 0).sum(), (label == 1).sum()], np.float64) + 1
     of = label[owner] == 1
     alone = _ratio(np.stack([np.bincount(term[~of], minlength=m), np.bincount(term[of], minlength=m)]), sizes)
-    more = _ratio(together, sizes) - alone[others][:, None] - alone
-    more[np.arange(len(others)), others] = 0
-    return others[(more >= least).any(1)]
+    found = []
+    for start in range(0, len(others), 64):  # their ratios take ten times the memory of their counts
+        some = others[start:start + 64]
+        more = _ratio(together[:, start:start + 64], sizes) - alone[some][:, None] - alone
+        more[np.arange(len(some)), some] = 0
+        found.append(some[(more >= least).any(1)])
+    return np.concatenate([others[:0], *found])
 
 
 def _ratio(counts, sizes):

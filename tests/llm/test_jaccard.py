@@ -82,3 +82,30 @@ def test_components(spark):
     assert set(got) == linked
     assert len({(root[n], c) for n, c in got.items()}) == len({root[n] for n in got}) == len(set(got.values()))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """Each round is several jobs, and the driver keeps a record of all their tasks."""
+    import importlib
+
+    module = importlib.import_module("postlake.llm.components")
+    rounds = []
+    monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: (rounds.append(name), f(df, name))[1])
+    star = [(0, i) for i in range(1, 1500)] + [(0, 5000 + i) for i in range(1500)]
+    path = [(10_000 + i, 10_001 + i) for i in range(400)]
+    tree = [(20_000 + i // 2, 20_000 + i) for i in range(1, 1000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(star + path + tree, "a long, b long")).collect()}
+    assert len(got) == 3000 + 401 + 1000
+    for edges in (star, path, tree):
+        assert len({got[x] for e in edges for x in e}) == 1
+    assert len(set(got.values())) == 3
+    assert rounds.count("links") - 1 <= 5
+
+
+def test_late_links_unite_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, component long")
+    more = spark.createDataFrame([(2, 4), (8, 9), (8, 3), (20, 21)], "a long, b long")
+    got = {r.node: r.component for r in jaccard._united(labels, more).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 8, 9, 20, 21]
+    assert len({got[n] for n in (1, 2, 3, 4, 8, 9)}) == 1 and got[5] == got[6] == 5 and got[20] == got[21]
+    assert len(set(got.values())) == 3

@@ -1,12 +1,13 @@
 """Held-out accuracy, the pairwise part against its definition, and odd inputs."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from postlake.llm.queries import op3_toxicity
-from postlake.llm.toxicity import Model, _fit, _raw, fit, with_score
+from postlake.llm.toxicity import Model, _fit, _paired, _ratio, _raw, fit, with_score
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,3 +73,29 @@ def test_odd_inputs(spark):
     few = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0), (9, 0)], "doc_id long, toxic int")
     model = fit(docs, few, learn=F.col("doc") > 0)
     assert len(with_score(docs, model, name="toxicity").select("score", "toxicity").collect()) == 5
+
+
+def test_learning_takes_little_memory():
+    """The driver holds the rows, their counts and a few blocks more."""
+    rng = np.random.default_rng(3)
+    owner, term = np.repeat(np.arange(5000), 100), rng.integers(0, 2500, 500_000)
+    owner, term = np.divmod(np.unique(owner * 2500 + term), 2500)
+    label, telling, factors = rng.integers(0, 2, 5000), rng.random(2500) > 0.2, rng.normal(size=(2500, 4))
+    tracemalloc.start()
+    found = _paired(owner, term, label, telling, 6.0)
+    paired = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    raw, sums = _raw(owner, term, 5000, np.zeros(2500), factors, 0.5)
+    scored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert paired < 60e6 and scored < 10 * 8 * len(term)
+    holds = np.zeros((5000, 2500), np.float32)
+    holds[owner, term] = 1
+    sizes, ones = np.array([(label == 0).sum(), (label == 1).sum()]) + 1.0, label == 1
+    together = np.stack([holds[~ones].T @ holds[~ones], holds[ones].T @ holds[ones]])
+    alone = _ratio(np.stack([holds[~ones].sum(0), holds[ones].sum(0)]), sizes)
+    more = _ratio(together, sizes) - alone[:, None] - alone
+    np.fill_diagonal(more, 0)
+    assert 0 < len(found) < (~telling).sum()
+    assert found.tolist() == np.flatnonzero(~telling & (more >= 6.0).any(1)).tolist()
+    assert np.allclose(sums, holds @ factors) and np.allclose(raw, 0.5 + ((holds @ factors) ** 2 - holds @ factors ** 2).sum(1) / 2)
