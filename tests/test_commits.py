@@ -153,3 +153,41 @@ def test_settings_are_applied_in_every_session(spark):
     rows = all_queries()["publish_times"](other, "/root/testdata/sf0.001")
     assert other.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, all_queries()["publish_times"](spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_a_load_that_only_adds_rows_leaves_the_stored_ones_where_they_are(spark, tmp_path):
+    root = str(tmp_path / "t")
+    _merge(spark, root, [(i, "a") for i in range(20)], "1")
+    stored = {f for f in (tmp_path / "t" / "rows").rglob("*.parquet")}
+    changes, *_ = _merge(spark, root, [(i, "b") for i in (30, 30, 31)], "2")
+    assert "raw_text" not in changes.columns and changes.columns.count("digest") == 1  # decisions name texts, and hold none
+    added = {f for f in (tmp_path / "t" / "rows").rglob("*.parquet")} - stored
+    assert [spark.read.parquet(*map(str, added)).count(), read_table(spark, root).count(), version(spark, root)["buckets"]] == [2, 22, 1]
+    for n in range(buckets.PARTS):
+        _merge(spark, root, [(100 + n, "c")], f"more {n}")
+    assert max(len(buckets._folders(version(spark, root), b)) for b in version(spark, root)["at"]) <= buckets.PARTS
+    assert read_table(spark, root).count() == 22 + buckets.PARTS and forget(spark, root, 1)
+    assert read_table(spark, root).count() == 22 + buckets.PARTS and not grow(spark, root)
+    assert _merge(spark, root, [(30, "d"), (5, "a")], "last")[2] == {"inserted": 0, "updated": 1, "unchanged": 1, "failed": 0}
+    assert _texts(spark, root)["30"] == "d" and read_table(spark, root).count() == 22 + buckets.PARTS
+
+
+def test_rows_that_were_forgotten_before_a_version_named_them_are_written_again(spark, tmp_path, stop):
+    root = str(tmp_path / "t")
+    _merge(spark, root, [(1, "a")], "1")
+    go_on = stop("/versions/")
+    with pytest.raises(Stopped):
+        _merge(spark, root, [(1, "b"), (2, "b")], "2")
+    go_on()
+    assert len(forget(spark, root)) == 1
+    _merge(spark, root, [(1, "b"), (2, "b")], "2")
+    assert _texts(spark, root) == {"1": "b", "2": "b"}
+
+
+def test_rows_before_the_window_are_counted_by_the_load(spark, tmp_path):
+    rows = _rows(spark, [(1, "a"), (2, "b"), (3, " "), (4, "d")])
+    rows = rows.withColumn("posted_at", F.when(F.col("external_id") == "2", F.lit("2026-08-01").cast("timestamp")).when(F.col("external_id") < "4", F.col("posted_at")))
+    got = merge(spark, str(tmp_path / "t"), rows, "1", AS_OF, ["external_id"], since=F.lit("2026-08-09").cast("timestamp"))
+    assert got[2] == {"inserted": 1, "updated": 0, "unchanged": 0, "failed": 2, "late": 1}
+    assert sorted((r.external_id, r.reason) for r in got[1].collect()) == [("3", ["text_not_blank"]), ("4", ["posted_at_set"])]
+    assert _texts(spark, str(tmp_path / "t")) == {"1": "a"}

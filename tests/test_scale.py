@@ -149,3 +149,15 @@ def test_spaces_at_the_ends_and_numbers(spark):
     assert {r.t: r.n for r in rows.collect()} == said
     listed = spark.createDataFrame([(["b", None, "a", "b"],), ([],), (None,)], "t array<string>").withColumn("k", values.skills("t", {"x": "y"}, ("a",)))
     assert [r.k for r in listed.collect()] == [["b"], [], None]
+
+
+def test_listed_postings_keep_their_times(spark, monkeypatch):
+    """Texts are exchanged without their times, which come to them by id; ids may be missing or come twice."""
+    at = datetime(2024, 1, 30)
+    rows = [(1, "1", "a", at), (1, "1", "b", at), (2, "2", "c", None), (None, None, "d", None), (60, "60", None, at)]
+    df = spark.createDataFrame(rows, "id long, external_id string, raw_text string, posted_at timestamp")
+    monkeypatch.setattr(landing, "postings", lambda *_: df)
+    lists = landing._lists(spark, "")
+    got = lists.selectExpr("inline(listed)").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r[1:]) for r in rows) and lists.count() == 3
+    assert lists._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
