@@ -201,3 +201,27 @@ def test_write_gold(spark, tmp_path):
         "source": "hn", "external_id": "1", "raw_text": "é", "posted_at": "2026-08-01T00:00:00.000000Z"}
     meta = spark.read.json(str(tmp_path / "g/meta")).first()
     assert (meta["seed"], meta["counts"]["hn"], meta["excluded"]) == (7, 1, ["8", "9"])
+
+
+def test_a_board_that_fails_is_no_result(spark, tmp_path, monkeypatch):
+    """One board may fail and cost only its rows; the queries that show what the loads told do not show its zeros."""
+    from postlake.plans import landing
+
+    at = spark.sql("SELECT timestamp '2024-01-30'").first()[0]
+    rows = spark.createDataFrame([(i, str(i), f"text {i}", at) for i in range(4)], "id long, external_id string, raw_text string, posted_at timestamp")
+    real = load.load_source
+
+    def broken(spark, source, *args):
+        if source == "web3":
+            raise ValueError("no such board")
+        return real(spark, source, *args)
+
+    monkeypatch.setattr(landing, "postings", lambda *_: rows)
+    monkeypatch.setattr(landing, "table", lambda *_: spark.createDataFrame([], "doc_id long, lang string"))
+    monkeypatch.setattr(load, "load_source", broken)
+    with pytest.raises(RuntimeError, match="web3 failed: no such board"):
+        landing.load_counts(spark, "")
+    told = load.load_all(spark, {"hn": write(tmp_path, "hn", HN), "web3": "nowhere"}, str(tmp_path / "db"), "2026-08-10")
+    web3 = told.filter("source = 'web3'").first()
+    assert (web3["inserted"], web3["unchanged"], web3["cards"], web3["alarm"], web3["error"]) == (0, None, None, None, "no such board")
+    assert load.complete(told.filter("source = 'hn'")).columns == ["source", *load.COUNTS]
