@@ -161,3 +161,20 @@ def test_listed_postings_keep_their_times(spark, monkeypatch):
     got = lists.selectExpr("inline(listed)").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str(r[1:]) for r in rows) and lists.count() == 3
     assert lists._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_many_queries_copy_no_vectors(spark, monkeypatch):
+    """What is written for a search by cells are the vectors once and the rows found, whatever cells and rounds there are."""
+    rng, stored = np.random.default_rng(5), {}
+    cut = vectors.cut_lineage
+    monkeypatch.setattr(vectors, "cut_lineage", lambda df, name: stored.setdefault(name, []).append(df.count()) or cut(df, name))
+    monkeypatch.setattr(vectors, "SENT_BYTES", 8 * 6 * 50)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    v = rng.normal(size=(300, 6))
+    v[100:180] = v[100]
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    got = vectors.vector_topk(corpus.withColumnRenamed("id", "query_id"), corpus, 4, max_sent=10, pivots=8)
+    assert stored["placed"] == stored["sent"] == [300] and 3 < len(stored["found"]) <= 6 and sum(stored["found"]) == 1200
+    u = vectors._unit(v)
+    want = [(q, i) for q, row in enumerate(np.round(u @ u.T, 9)) for _, i in sorted(zip(-row, range(300)))[:4]]
+    assert [tuple(r) for r in got.orderBy("query_id", "rank").select("query_id", "id").collect()] == want
