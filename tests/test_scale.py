@@ -178,3 +178,15 @@ def test_many_queries_copy_no_vectors(spark, monkeypatch):
     u = vectors._unit(v)
     want = [(q, i) for q, row in enumerate(np.round(u @ u.T, 9)) for _, i in sorted(zip(-row, range(300)))[:4]]
     assert [tuple(r) for r in got.orderBy("query_id", "rank").select("query_id", "id").collect()] == want
+
+
+def test_described_texts_are_exchanged_by_posting_alone(spark, monkeypatch):
+    """Neither texts nor their sets of runs are written down; copies and texts of one posting leave one set each."""
+    kept, cut = [], descriptions.cut_lineage
+    monkeypatch.setattr(descriptions, "cut_lineage", lambda df, *name: kept.extend(df.columns) or cut(df, *name))
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words).upper()), (3, " ".join([*words, "x"])), (4, "far off"), (4, None), (5, " ".join([*words, "x"]))]
+    pairs, members = descriptions.similar_descriptions(spark.createDataFrame(rows, "external_id long, raw_text string"))
+    assert not {"plain", "runs", "words"} & set(kept)
+    assert [(r.first_a, r.first_b, round(r.similarity, 6)) for r in pairs.collect()] == [(1, 3, round(38 / 39, 6))]
+    assert sorted(map(tuple, members.collect())) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 3)]
